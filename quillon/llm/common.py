@@ -43,6 +43,53 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Digits, letters a-z and all bytes of characters beyond ASCII.
+IS_WORD = np.zeros(256, bool)
+IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+
+
+class Words:
+    """The words of some texts, which are runs of bytes of one kind: places and 64-bit hashes."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = IS_WORD, fold: np.ndarray = LOWER):
+        self.text = fold[raw]
+        inside = kind[self.text]
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[offsets] = True
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1] | begins[1:-1]
+        last[:-1] &= ~inside[1:] | begins[1:-1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.cuts = np.searchsorted(self.starts, offsets)  # where each text's words begin
+        self.count = np.diff(self.cuts)
+        self.hash = self._hash()
+
+    def _hash(self) -> np.ndarray:
+        padded = np.concatenate([self.text, np.zeros(16, np.uint8)])
+        wide = np.ndarray(shape=(len(self.text) + 9,), dtype="<u8", buffer=padded.data, strides=(1,))
+        length = self.ends - self.starts
+        out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows, at = slice(None), 0
+        while True:
+            left = length[rows] - at
+            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8))
+            x = (out[rows] ^ (wide[self.starts[rows] + at] & mask)) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            out[rows] = x ^ (x >> np.uint64(29))
+            at += 8
+            rows = np.flatnonzero(length > at)
+            if not len(rows):
+                return out
+
+    def phrase(self, a: int, n: int) -> list[bytes]:
+        raw = self.text[self.starts[a] : self.ends[a + n - 1]].tobytes()
+        base = int(self.starts[a])
+        return [raw[s - base : e - base] for s, e in zip(self.starts[a : a + n].tolist(), self.ends[a : a + n].tolist())]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -72,6 +119,24 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def remainder(column: str, mod: int):
+    """crc32 of an id as text, modulo mod."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(mod))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, mod: int, held_out: int, limit: int) -> DataFrame:
+    """doc_id, text, label of at most `limit` labelled rows to learn from, those with the least
+    hash of their id. Rows whose remainder is `held_out` aren't among them."""
+    from pyspark.sql import functions as F
+
+    rows = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (remainder("doc_id", mod) != held_out))
+    chosen = rows.select("doc_id", F.col(column).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
+    # The limit bounds what is broadcast.
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
 def column_name(wanted: str, taken: list[str]) -> str:
     """`wanted`, or `wanted` with underscores where an input column has that name already."""
     while wanted in taken:

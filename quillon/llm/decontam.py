@@ -25,59 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, text_buffers
+from quillon.llm.common import Words, blocks, text_buffers
 
 #: Bytes of training text in one suffix array.
 SHARD_BYTES = 6 << 20
 #: Bytes of test text in one block that is sent to the executors.
 TEST_BYTES = 32 << 20
 
-IS_WORD = np.zeros(256, bool)
-IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 32
-
-
-class Words:
-    """The words of some texts: bytes, places and 64-bit hashes."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        self.text = LOWER[raw]
-        inside = IS_WORD[self.text]
-        begins = np.zeros(len(raw) + 1, bool)
-        begins[offsets] = True
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1] | begins[1:-1]
-        last[:-1] &= ~inside[1:] | begins[1:-1]
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.cuts = np.searchsorted(self.starts, offsets)  # where each text's words begin
-        self.count = np.diff(self.cuts)
-        self.hash = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        padded = np.concatenate([self.text, np.zeros(16, np.uint8)])
-        wide = np.ndarray(shape=(len(self.text) + 9,), dtype="<u8", buffer=padded.data, strides=(1,))
-        length = self.ends - self.starts
-        out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        rows, at = slice(None), 0
-        while True:
-            left = length[rows] - at
-            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8))
-            x = (out[rows] ^ (wide[self.starts[rows] + at] & mask)) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x94D049BB133111EB)
-            out[rows] = x ^ (x >> np.uint64(29))
-            at += 8
-            rows = np.flatnonzero(length > at)
-            if not len(rows):
-                return out
-
-    def phrase(self, a: int, n: int) -> list[bytes]:
-        raw = self.text[self.starts[a] : self.ends[a + n - 1]].tobytes()
-        base = int(self.starts[a])
-        return [raw[s - base : e - base] for s, e in zip(self.starts[a : a + n].tolist(), self.ends[a : a + n].tolist())]
-
-
 class TestItems:
     """Windows of the test items: each distinct one once, with the items that have it."""
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import decontam, packing, simhash, wavelet
+from quillon.llm import decontam, langid, packing, quality, simhash, wavelet
+from quillon.llm.common import remainder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +36,23 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(table(spark, sf_dir, "documents"), BYTES, end_id=2)
 
 
+def is_held_out(mod: int, rest: int):
+    return F.coalesce(remainder("doc_id", mod) == rest, F.lit(False)).alias("held_out")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), mod=3, held_out=1)
+    found = quality.scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", is_held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predicted(docs.select("doc_id", "text"), langid.fit(docs, mod=3, held_out=1))
+    return found.select("doc_id", is_held_out(3, 1), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
