@@ -36,6 +36,32 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[changed], nodes[label[changed]]
 
 
+def spanning_links(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the links of a minimum spanning forest (Boruvka): among the links given, fewer
+    than there are nodes, and every cut is crossed by one of its lightest."""
+    chosen: list[np.ndarray] = []
+    if not len(a):
+        return np.zeros(0, np.int64)
+    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = index[: len(a)], index[len(a) :]
+    key = weight.astype(np.int64) * len(a) + np.arange(len(a))
+    at, label = np.arange(len(a)), np.arange(len(nodes))
+    while True:
+        la, lb = label[left[at]], label[right[at]]
+        at, la, lb = at[la != lb], la[la != lb], lb[la != lb]
+        if not len(at):
+            return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        best = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(best, la, key[at])
+        np.minimum.at(best, lb, key[at])
+        picked = np.unique(best[best < np.iinfo(np.int64).max]) % len(a)
+        chosen.append(picked)
+        x, y = local_forest(label[left[picked]], label[right[picked]])
+        to = np.arange(len(nodes))
+        to[x] = y
+        label = to[label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node in links (a, b): the least id that it reaches.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, langid, packing, quality, simhash, wavelet
+from quillon.llm import decontam, embeddings, html, langid, packing, quality, simhash, toxicity, urls, wavelet
 from quillon.llm.common import remainder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORDS, end_id=1, size=2048)
 
@@ -28,6 +32,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), mod=4, held_out=2)
+    found = toxicity.scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", is_held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -47,6 +62,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The rules that the URL query judges by.
+URL_RULES = [urls.rule("block", "net/"), urls.rule("allow", "example.net/en/"), urls.rule("block", "example.com/de/"), urls.rule("allow", "org/fr/")]
+
+
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predicted(docs.select("doc_id", "text"), langid.fit(docs, mod=3, held_out=1))
@@ -54,7 +78,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:

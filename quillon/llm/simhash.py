@@ -1,14 +1,21 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-Fingerprints of 64 bits link at `max_bits` or fewer differing bits. A fingerprint is cut into
-so few segments that two linked ones have a segment that differs by at most one bit. Each
-segment is indexed once for each of its bits with that bit left out, so such a pair meets in an
-equality join on (segment, bit, rest), and is then verified on all 64 bits.
-
-Equal fingerprints are one node from the start, so exact copies make no pairs. Within one index
+A fingerprint has 64 bits, or more words of 64 bits. It is cut into few segments, and each
+segment is indexed once for each of its bits with that bit left out, so two fingerprints with a
+segment that differs by at most one bit meet in an equality on (segment, bit, rest). What meets
+is verified on all bits.
+
+Two uses. `near_duplicates` links fingerprints of 64 bits at `max_bits` or fewer differing bits
+and finds every such link: it cuts into so few segments that one of them must differ by one bit
+at most. `similar_groups` links texts whose sets of shingles have a Jaccard similarity of 0.8 or
+more: such texts differ in a seventh of the bits, so it takes more, shorter segments, of which
+one differs by at most one bit with high probability, and verifies the similarity itself on the
+shingles of each link.
+
+Equal fingerprints are one node from the start, so exact copies make no pairs. Under one index
 key, sorted rows are compared as they stream by, and only a spanning forest of the verified
-links is emitted. A key with more than `CROWD` fingerprints isn't compared pair by pair: each
-of its fingerprints looks up, by equality, all those within `max_bits` bits.
+links is emitted, the closest pairs first. A key with more than `crowd` fingerprints is cut into
+blocks; each pair of blocks is one row, so no task holds more than two of them.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like
 any other; a row with null doc_id gets its fingerprint, joins no component and has a null
@@ -18,6 +25,7 @@ component_id; repeated rows have equal results; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE_BYTES, blocks, text_buffers, written
-from quillon.llm.components import components, local_forest
+from quillon.llm.common import SPACE_BYTES, blocks, column_name, text_buffers, written
+from quillon.llm.components import components, spanning_links
 
 SEED = 42
-#: Fingerprints under one key that are still compared pair by pair.
+#: Fingerprints under one key that are compared as one block.
 CROWD = 4096
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 17
+#: Recall that similar_groups aims at for a pair of just the least similarity.
+RECALL = 0.92
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
@@ -66,158 +76,323 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, n
     return out.tobytes(), starts, place[np.flatnonzero(ends_word)] + 1, first
 
 
-def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """uint64 fingerprint of each text."""
-    n = len(offsets) - 1
+def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each shingle, its XXH64), part by part in order; fewer words than a shingle has
+    are one shingle."""
     text, starts, ends, first = words_of(raw, offsets)
     words = np.diff(first)
     count = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
-    doc = np.repeat(np.arange(n), count)
-    begin = np.cumsum(count) - count
-    a = first[:-1][doc] + np.arange(len(doc)) - begin[doc]
+    doc = np.repeat(np.arange(len(offsets) - 1), count)
+    a = first[:-1][doc] + np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
     b = np.minimum(a + shingle, first[1:][doc]) - 1
-    ones, h = np.zeros((n, 64), np.int64), xxhash.xxh64_intdigest
+    h = xxhash.xxh64_intdigest
     for i in range(0, len(doc), CHUNK):
         part = slice(i, i + CHUNK)
-        values = np.array([h(text[s:e], SEED) for s, e in zip(starts[a[part]].tolist(), ends[b[part]].tolist())], np.uint64)
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cut = np.flatnonzero(np.diff(doc[part], prepend=-1))
-        ones[doc[part][cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+        yield doc[part], np.array([h(text[s:e], SEED) for s, e in zip(starts[a[part]].tolist(), ends[b[part]].tolist())], np.uint64)
+
+
+def mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """The hash itself for word 0, others that depend on it alone for further words."""
+    if not word:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * word & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
+    """uint64 fingerprint of each text, one column a word: bits set in over half of the hashes."""
+    n = len(offsets) - 1
+    ones, count = np.zeros((n, words, 64), np.int64), np.zeros(n, np.int64)
+    for doc, values in shingle_hashes(raw, offsets, shingle):
+        cut = np.flatnonzero(np.diff(doc, prepend=-1))
+        count[doc[cut]] += np.diff(np.append(cut, len(doc)))
+        for w in range(words):
+            bits = np.unpackbits(mixed(values, w).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[doc[cut], w] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > count[:, None, None], axis=2, bitorder="little").view("<u8").reshape(n, words).astype(np.uint64)
+
+
+def names(words: int) -> list[str]:
+    return [f"f{w}" for w in range(words)]
 
-def fingerprint_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+
+def fingerprint_table(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
+    """doc_id and the words of the fingerprint as signed longs f0, f1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
-            parts = [fingerprints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle) for i, j in blocks(offsets)]
-            fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            parts = [fingerprints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, words) for i, j in blocks(offsets)]
+            fp = np.concatenate(parts) if parts else np.zeros((0, words), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], ["doc_id", *names(words)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in names(words)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
+Segments = list[tuple[int, int, int]]  # (word, lowest bit, bits)
 
-def segments(max_bits: int) -> list[tuple[int, int]]:
-    """(lowest bit, bits) of each segment; of max_bits differing bits, some segment has one at most."""
+
+def segments(max_bits: int) -> Segments:
+    """Of a fingerprint of 64 bits with max_bits differing, some segment has one of them at most."""
     count = max(1, -(-(max_bits + 1) // 2))
     cuts = [64 * i // count for i in range(count + 1)]
-    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
+    return [(0, a, b - a) for a, b in itertools.pairwise(cuts)]
+
+
+def share_of_bits(similarity: float) -> float:
+    """Share of bits that differ between sets of this Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def likely_segments(similarity: float, rows: int) -> tuple[Segments, int, int]:
+    """(segments, words, differing bits that verification allows) for texts of this similarity.
 
+    Segments are as long as chance meetings of `rows` fingerprints call for, and as many as
+    RECALL needs.
+    """
+    width = next((w for w in (16, 21, 24) if rows <= 1 << (w + 4)), 32)
+    p = share_of_bits(similarity)
+    meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meets)))
+    per = 64 // width
+    words = -(-count // per)
+    count = words * per
+    allowed = math.floor(64 * words * p + 2.5 * math.sqrt(64 * words * p * (1 - p)))
+    return [(k // per, k % per * width, width) for k in range(count)], words, allowed
 
-def variants(distinct: DataFrame, max_bits: int) -> DataFrame:
-    """key, fp, rep: one row for each segment and each bit of it left out."""
-    cut = segments(max_bits)
+
+def variants(distinct: DataFrame, cut: Segments, words: int) -> DataFrame:
+    """key, fingerprint, rep: one row for each segment and each bit of it left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
-                fp = part.column("fp").to_numpy().view(np.uint64)
-                for low, bits in cut:
-                    own = (fp >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+                columns = [part.column(f).to_numpy() for f in names(words)]
+                rep = part.column("rep").to_numpy()
+                for number, (word, low, bits) in enumerate(cut):
+                    own = (columns[word].view(np.uint64) >> np.uint64(low)) & np.uint64((1 << bits) - 1)
                     wild = np.arange(bits, dtype=np.uint64)
                     key = own[:, None] & ~(np.uint64(1) << wild)[None, :]
-                    # Keys of a segment of w bits and a bit left out: rest, with the bit's number above.
-                    if bits <= 57:
-                        key |= (wild + np.uint64(low))[None, :] << np.uint64(57)
-                    else:
-                        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ wild[None, :]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, bits).view(np.int64)), pa.array(np.repeat(part.column("rep").to_numpy(), bits))], ["key", "fp", "rep"])
+                    name = np.uint64(number * 64) + wild
+                    # The segment's and the bit's number stand above the rest, or are mixed in.
+                    key = key | name[None, :] << np.uint64(48) if bits <= 48 else (key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(name, 1)[None, :]
+                    again = [pa.array(np.repeat(c, bits)) for c in (*columns, rep)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), *again], ["key", *names(words), "rep"])
+
+    return distinct.select(*names(words), "rep").mapInArrow(run, "key long, " + ", ".join(f"{f} long" for f in (*names(words), "rep")))
+
+
+Links = tuple[np.ndarray, np.ndarray, np.ndarray]  # a, b, differing bits
 
-    return distinct.select("fp", "rep").mapInArrow(run, "key long, fp long, rep long")
 
+def lightest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> Links:
+    use = spanning_links(a, b, bits)
+    return a[use], b[use], bits[use]
 
-def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+
+def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, max_bits: int) -> Links:
     """A forest of the verified links among rows that share a key; rows are sorted by key."""
-    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    rows, d = np.arange(len(key)), 0
+    out: list[Links] = [(np.zeros(0, np.int64),) * 3]
+    rows, d, held = np.arange(len(key)), 0, 0
     while len(rows):
         d += 1
         rows = rows[rows + d < len(key)]
         rows = rows[key[rows] == key[rows + d]]
-        near = rows[np.bitwise_count(fp[rows] ^ fp[rows + d]) <= max_bits]
-        a.append(rep[near])
-        b.append(rep[near + d])
-        held += len(near)
+        bits = np.bitwise_count(fp[rows] ^ fp[rows + d]).sum(axis=1, dtype=np.int64)
+        near = bits <= max_bits
+        out.append((rep[rows[near]], rep[rows[near] + d], bits[near]))
+        held += int(near.sum())
         if held > 1 << 18:
-            x, y = local_forest(np.concatenate(a), np.concatenate(b))
-            a, b, held = [x], [y], len(x)
-    return local_forest(np.concatenate(a), np.concatenate(b))
+            out = [lightest(*(np.concatenate(x) for x in zip(*out)))]
+            held = len(out[0][0])
+    return lightest(*(np.concatenate(x) for x in zip(*out)))
+
+
+def pairs_between(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, max_bits: int) -> Links:
+    """A forest of the verified links between two blocks, or inside one (if they are equal)."""
+    out: list[Links] = [(np.zeros(0, np.int64),) * 3]
+    for i in range(0, len(x), 256):
+        bits = np.bitwise_count(x[i : i + 256, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+        p, q = np.nonzero(bits <= max_bits)
+        use = a[p + i] != b[q]
+        p, q = p[use], q[use]
+        out.append((a[p + i], b[q], bits[p, q]))
+        if len(out) > 4:
+            out = [lightest(*(np.concatenate(z) for z in zip(*out)))]
+    return lightest(*(np.concatenate(z) for z in zip(*out)))
+
+
+def compare(sorted_variants: DataFrame, words: int, max_bits: int, crowd: int) -> DataFrame:
+    """block -1: a link (a, b) of representatives. Otherwise a row of a crowded key, with its
+    block's number: key in a, representative in b, and the fingerprint."""
+    fields = ["block", "a", "b", *names(words)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(a: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), -1, np.int64), a, b, *[np.zeros(len(a), np.int64)] * words)], fields)
 
-def compare(sorted_variants: DataFrame, max_bits: int, crowd: int = CROWD) -> DataFrame:
-    """kind 0: a link (a, b) of representatives; kind 1: fingerprint a of representative b lies
-    under a crowded key."""
+        def rows(block: int, key: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(key), block, np.int64), key, rep, *np.ascontiguousarray(fp.T).view(np.int64))], fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+        def take(batch: pa.RecordBatch) -> list[np.ndarray]:
+            fp = np.column_stack([batch.column(f).to_numpy() for f in names(words)]).view(np.uint64)
+            return [batch.column("key").to_numpy(), batch.column("rep").to_numpy(), fp]
 
-        held = [np.zeros(0, np.int64)] * 3
-        crowded = None  # the key whose rows are passed on, as there were too many of it
+        held, block, crowded = None, 0, None  # rows of the last key; blocks of it passed on
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                new = [batch.column(c).to_numpy() for c in ("key", "fp", "rep")]
-                held = [np.concatenate(x) for x in zip(held, new)]
-                if not len(held[0]):
+                if not batch.num_rows:
                     continue
-                last = held[0][-1]
-                full = int(np.searchsorted(held[0], last, side="left"))
-            else:
-                full, last = len(held[0]), None
-            done, held = [x[:full] for x in held], [x[full:] for x in held]
-            key, fp, rep = done
+                new = take(batch)
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if held is None:
+                continue
+            key = held[0]
+            full = int(np.searchsorted(key, key[-1])) if batch is not None else len(key)
+            done, held = [x[:full] for x in held], [x[full:] for x in held] if full < len(key) else None
             if full:
-                change = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > np.iinfo(np.int64).min else key[0] + 1))
-                size = np.diff(np.append(change, full))
-                many = (size > crowd) | (key[change] == crowded if crowded is not None else False)
-                mark = np.repeat(many, size)
-                single = np.repeat(size == 1, size)
-                if mark.any():
-                    yield out(1, fp[mark], rep[mark])
-                use = ~mark & ~single
-                yield out(0, *pairs_within(key[use], fp[use].view(np.uint64), rep[use], max_bits))
-            if last is not None and (len(held[0]) > crowd or crowded == last):
-                crowded = last
-                yield out(1, held[1], held[2])
-                held = [x[:0] for x in held]
-
-    return sorted_variants.mapInArrow(run, "kind int, a long, b long")
-
-
-def probes(crowd: DataFrame, max_bits: int) -> DataFrame:
-    """Links among crowded fingerprints, by looking up all values within max_bits bits."""
-    masks = [sum(1 << b for b in bits) for k in range(1, max_bits + 1) for bits in itertools.combinations(range(64), k)]
+                key, rep, fp = done
+                cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                size = np.diff(np.append(cut, full))
+                many = size > crowd
+                if crowded is not None and key[0] == crowded:
+                    many[0] = True
+                for k in np.flatnonzero(many):
+                    number = block if key[cut[k]] == crowded else 0
+                    for i in range(cut[k], cut[k] + size[k], crowd):
+                        j = min(i + crowd, cut[k] + size[k])
+                        yield rows(number, key[i:j], rep[i:j], fp[i:j])
+                        number += 1
+                use = np.repeat(~many & (size > 1), size)
+                yield links(*pairs_within(key[use], fp[use], rep[use], max_bits))
+            if held is not None:
+                if held[0][0] != crowded:
+                    block = 0
+                while held is not None and (len(held[0]) > crowd):
+                    crowded = held[0][0]
+                    yield rows(block, *(held[i][:crowd] for i in (0, 1, 2)))
+                    block += 1
+                    held = [x[crowd:] for x in held]
+
+    return sorted_variants.mapInArrow(run, ", ".join(f"{f} long" for f in fields))
+
+
+def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """Links (a, b) among the rows of crowded keys, one pair of blocks at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fp = [np.array([[r[f] for f in names(words)] for r in row["rows"]], np.int64), np.array([r["b"] for r in row["rows"]], np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["a"]]), pa.array([row["block"]]), pa.array([fp[0].tobytes()], pa.binary()), pa.array([fp[1].tobytes()], pa.binary())], ["a", "block", "fps", "reps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.array(masks, np.uint64)
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                fp = part.column("fp").to_numpy().view(np.uint64)
-                other = fp[:, None] ^ flips[None, :]
-                use = other > fp[:, None]  # each pair from one side
-                yield pa.RecordBatch.from_arrays([pa.array(other[use].view(np.int64)), pa.array(np.repeat(part.column("rep").to_numpy(), use.sum(axis=1)))], ["fp", "a"])
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[f"fps{k}"], np.uint64).reshape(-1, words) for k in (1, 2))
+                a, b = (np.frombuffer(row[f"reps{k}"], np.int64) for k in (1, 2))
+                one, two, _ = pairs_between(x, a, y, b, max_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+
+    # A block has at most `crowd` rows, so collecting one is bounded.
+    grouped = rows.groupBy("a", "block").agg(F.collect_list(F.struct("b", *names(words))).alias("rows"))
+    made = written(grouped.mapInArrow(pack, "a long, block long, fps binary, reps binary"))
+    left, right = (made.select(F.col("a").alias("key"), F.col("block").alias(f"block{k}"), F.col("fps").alias(f"fps{k}"), F.col("reps").alias(f"reps{k}")) for k in (1, 2))
+    pairs = left.select("key", "block1").join(right.select("key", "block2"), "key").filter("block1 <= block2").repartition("key", "block1", "block2")
+    return pairs.join(left, ["key", "block1"]).join(right, ["key", "block2"]).mapInArrow(run, "a long, b long")
+
+
+def links_of(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
+    """Verified links (a, b) of representatives, fewer than a forest's for each key."""
+    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = variants(distinct, cut, words).repartition(partitions, "key").sortWithinPartitions("key")
+    found = written(compare(sorted_, words, max_bits, crowd))
+    links, rest = found.filter("block = -1").select("a", "b"), found.filter("block >= 0")
+    if not rest.isEmpty():
+        links = links.unionByName(compare_blocks(rest, words, max_bits))
+    return links
+
+
+def distinct_prints(prints: DataFrame, words: int) -> DataFrame:
+    return prints.filter("doc_id is not null").groupBy(*names(words)).agg(F.min("doc_id").alias("rep"))
 
-    looked = crowd.mapInArrow(run, "fp long, a long")
-    return looked.join(crowd.withColumnRenamed("rep", "b"), "fp").select("a", "b")
+
+def with_components(prints: DataFrame, distinct: DataFrame, links: DataFrame, words: int) -> DataFrame:
+    """prints with component_id: the least doc_id that a row's fingerprint reaches."""
+    joined = components(links)
+    classes = written(distinct.join(joined, distinct["rep"] == joined["id"], "left").select(*names(words), F.coalesce("component", "rep").alias("component_id")))
+    return prints.join(classes, names(words), "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp, component_id of every row: the least doc_id reachable by links."""
+    """doc_id, fp, component_id of every row: the least doc_id reachable by links of fingerprints."""
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits must be from 0 to 7")
-    spark = docs.sparkSession
     prints = written(fingerprint_table(docs, shingle))
-    distinct = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = written(compare(variants(distinct, max_bits).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key"), max_bits, crowd))
-    links = found.filter("kind = 0").select("a", "b")
-    dense = found.filter("kind = 1")
-    if not dense.isEmpty():
-        links = links.unionByName(probes(written(dense.select(F.col("a").alias("fp"), F.col("b").alias("rep")).distinct()), max_bits))
-    joined = components(links)
-    classes = distinct.join(joined, distinct["rep"] == joined["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    distinct = distinct_prints(prints, 1)
+    found = with_components(prints, distinct, links_of(distinct, segments(max_bits), 1, max_bits, crowd), 1)
+    return found.select("doc_id", F.col("f0").alias("fp"), "component_id")
+
+
+def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose texts' sets of shingles are that similar."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            raw, offsets = text_buffers(batch.column("text"))
+            for i, j in blocks(offsets):
+                found: list[list[np.ndarray]] = [[] for _ in range(i, j)]
+                for doc, h in shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle):
+                    cut = np.flatnonzero(np.diff(doc, prepend=-1))
+                    for d, part in zip(doc[cut].tolist(), np.split(h, cut[1:])):
+                        found[d].append(part)
+                rows = [np.unique(np.concatenate(x)).tobytes() if x else b"" for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(rows, pa.binary())], ["id", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                either = len(p) + len(q) - both
+                keep.append(not either or both >= similarity * either - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id", "left_semi")
+    made = written(texts.mapInArrow(sets, "id long, shingles binary")).dropDuplicates(["id"])
+    left, right = (made.select(F.col("id").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """doc_id, component_id of every row: texts with that Jaccard similarity link."""
+    rows = docs.count()
+    cut, words, allowed = likely_segments(similarity, rows)
+    prints = written(fingerprint_table(docs, shingle, words))
+    distinct = distinct_prints(prints, words)
+    links = verified(links_of(distinct, cut, words, allowed, crowd), docs, shingle, similarity)
+    return with_components(prints, distinct, links, words).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, that are first of their group by doc_id. Rows
+    with a null doc_id stay; of rows that share a doc_id one stays."""
+    found = written(similar_groups(docs, shingle, similarity))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"))
+    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    if again.isEmpty():
+        return out
+    own = column_name("_id", docs.columns)
+    several = again.withColumnRenamed("_id", own)
+    once = out.join(several, out["doc_id"] == several[own], "left_anti")
+    return once.unionByName(out.join(several, out["doc_id"] == several[own], "left_semi").dropDuplicates(["doc_id"]))
 
 
 def as_hex(column: str):
