@@ -1 +1 @@
-"""Part of a Spark-native data layer."""
+"""Column functions and functions on nested values."""

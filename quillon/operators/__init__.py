@@ -1 +1 @@
-"""Part of a Spark-native data layer."""
+"""Operators on DataFrames."""

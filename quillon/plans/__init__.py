@@ -1 +1 @@
-"""Part of a Spark-native data layer."""
+"""Queries as plans, and the catalog that resolves names."""

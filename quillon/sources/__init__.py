@@ -1 +1 @@
-"""Part of a Spark-native data layer."""
+"""Where rows come from and go to."""

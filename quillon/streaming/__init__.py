@@ -1 +1 @@
-"""Part of a Spark-native data layer."""
+"""Change capture, listeners and their graphs."""
