@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -112,12 +113,16 @@ class Database:
             fields = self.store.fields(table)
             if unknown := {k for r in rows for k in r} - set(fields):
                 raise ValueError(f"table {table!r} has no column {sorted(unknown)}")
+            key = self.primary_id(table)
+            if fields[key].lower() in ("str", "id"):
+                rows = [{**r, key: r[key] if r.get(key) is not None else str(uuid.uuid4())} for r in rows]
+            given = [str(r.get(key)) for r in rows]
             rows = self.frame(rows, {f: t for f, t in fields.items() if any(f in r for r in rows)})
         added = self.store.append(table, rows)
         key = self.primary_id(table)
         if self.listeners and not table.startswith("_"):
             listening.on_change(self, table, added.select(key))
-        return [str(r[0]) for r in added.select(key).collect()] if local else []
+        return given if local else []
 
     def insert_objects(self, objects: Iterable[Any]) -> list[str]:
         """Rows from instances of annotated classes; a class without a table gets one."""

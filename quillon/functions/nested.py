@@ -119,7 +119,7 @@ def fill_references(value: Any, known: dict[str, Any]) -> Any:
 VARIABLE = re.compile(r"<var:([^<>]*?)>")
 
 
-def set_variables(value: Any, **variables: Any) -> Any:
+def set_variables(value: Any, /, **variables: Any) -> Any:
     """`<var:name>` replaced anywhere in a nested value, keys included. A text that is one
     variable keeps the value's type; unknown variables stay."""
     if isinstance(value, dict):

@@ -122,13 +122,11 @@ class Model:
 
     def check(self, key: Key) -> None:
         """A key that doesn't fit the function's parameters is an error before anything runs."""
-        want, have = self.signature, key_shape(key)
-        if want != have and not (have == "*args" and want == "singleton" and len(key) == 1):
-            args, kwargs = arguments(key)
-            try:
-                inspect.signature(self._target()).bind(*([None] * (len(args) or (key is None))), **dict.fromkeys(kwargs))
-            except TypeError as e:
-                raise ValueError(f"the key {key!r} doesn't fit {self.identifier}: {e}") from None
+        args, kwargs = arguments(key)
+        try:
+            inspect.signature(self._target()).bind(*([None] * (len(args) or (key is None))), **dict.fromkeys(kwargs))
+        except TypeError as e:
+            raise ValueError(f"the key {key!r} doesn't fit {self.identifier}: {e}") from None
 
     def predict_batch(self, calls: list[tuple[list, dict]]) -> list[Any]:
         """Outputs of many calls. Subclasses that work on whole batches replace this."""
@@ -163,9 +161,14 @@ class Model:
         return own.select(*[f"`{c}`" for c in rows.columns], F.posexplode("_all").alias(position, name))
 
     def validate(self, rows: DataFrame, key: Key, target: str, metrics: Sequence[Metric]) -> dict[str, float]:
-        """Metrics of predictions against a target column, in one pass."""
+        """Metrics of predictions against a target column: one pass for all expressions, and one
+        for each Python function."""
         scored = self.predict_in(rows, key, "_prediction")
-        return scored.agg(*[m.column(F.col("_prediction"), F.col(quoted(target))).alias(m.identifier) for m in metrics]).first().asDict()
+        passes = [[m for m in metrics if m.expression is not None], *([m] for m in metrics if m.expression is None)]
+        out: dict[str, float] = {}
+        for own in filter(None, passes):
+            out |= scored.agg(*[m.column(F.col("_prediction"), F.col(quoted(target))).alias(m.identifier) for m in own]).first().asDict()
+        return {m.identifier: out[m.identifier] for m in metrics}
 
     def append_metrics(self, values: dict[str, float]) -> None:
         for k, v in values.items():
