@@ -205,6 +205,22 @@ class Database:
             rows = rows.filter(F.col(key).isin(list(ids)))
         return vector.nearest(rows, key, column, query, n, measure).withColumnRenamed(key, "id")
 
+    # --- code and configuration
+
+    def add_plugin(self, path: str) -> None:
+        """Make a Python file, or a zip of a package, importable on the driver and the executors."""
+        self.spark.sparkContext.addPyFile(path)
+
+    def apply(self, what: Any, **variables: Any) -> Any:
+        """Register a listener, a vector index, a dataset's table or a component. Applying the
+        same thing again changes nothing."""
+        if isinstance(what, Listener):
+            known = any(x.predict_id == what.predict_id for x in self.listeners)
+            return what if known else self.listen(what)
+        if isinstance(what, VectorIndex):
+            return self.add_index(what)
+        return self.catalog.apply(what.with_variables(**variables) if variables else what)
+
     # --- native
 
     def sql(self, text: str, **arguments: Any) -> DataFrame:

@@ -15,7 +15,7 @@ from quillon.operators import models, mutations, outputs, training, vector
 from quillon.plans import components
 from quillon.plans.predicates import Predicate
 from quillon.plans.query import Query
-from quillon.sources import readers
+from quillon.sources import datasets, readers
 from quillon.streaming import events, listener, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,6 +724,44 @@ def query_round_trip(db: Database) -> DataFrame:
     return Query.from_json(written, db).execute()
 
 
+@query("SELECT 'a' AS id, 1 AS x UNION ALL SELECT 'b', NULL")
+def src_inline_data(db: Database) -> DataFrame:
+    datasets.Data({"x": "int"}, [{"id": "a", "x": 1}, {"id": "b"}]).add_to(db, "inline")
+    return db.table("inline")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'de'")
+def src_dataset(db: Database) -> DataFrame:
+    t = db["documents"]
+    made = datasets.Dataset("german", t.filter(t["lang"] == "de").select("doc_id", "lang"), pin=True)
+    made.frame(db)
+    return made.frame(db)
+
+
+@query("SELECT sum(o_orderkey) AS keys, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
+def src_query_dataset(db: Database) -> DataFrame:
+    rows = db.table("orders").withColumn(training.FOLD, F.when(F.col("o_orderkey") % 2 == 0, "train").otherwise("valid"))
+    db.store.attach("folded_orders", rows, "o_orderkey")
+    made = datasets.QueryDataset(db, db["folded_orders"], "o_orderkey")
+    return made.frame().agg(F.sum("o_orderkey").alias("keys"), F.count("*").alias("n"))
+
+
+@query("SELECT 'one' AS name, 'id' AS primary_id, 2 AS n_fields UNION ALL SELECT 'two', 'id', 3")
+def create_tables(db: Database) -> DataFrame:
+    db.store.create_all({"one": {"x": "int"}, "two": {"x": "str", "v": "vector[float:3]"}, "three": {"x": "int"}})
+    db.drop_table("three")
+    made = [(n, db.primary_id(n), len(db.store.fields(n))) for n in ("one", "two", "three") if db.store.exists(n)]
+    return db.spark.createDataFrame(made, "name string, primary_id string, n_fields int")
+
+
+@query("SELECT 'app' AS identifier, 'application' AS kind, 1 AS version UNION ALL SELECT 'm', 'model', 1")
+def component_versions(db: Database) -> DataFrame:
+    for size in (1, 2):
+        model = components.Component("m", "model", {"size": size}, ("size",))
+        db.apply(components.Component("app", "application", {"model": model}, ("model",)))
+    return db.catalog.latest().select("identifier", "kind", "version")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
