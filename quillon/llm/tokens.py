@@ -18,7 +18,7 @@ import numpy as np
 from quillon.llm.common import blocks
 
 #: Distinct pieces that one encoder remembers before it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 
 LETTER, DIGIT, SPACE, OTHER, UNSAFE = 0, 1, 2, 3, 4
 
@@ -80,7 +80,7 @@ class Encoder:
     def _reset(self) -> None:
         self.key = np.zeros(0, np.uint64)  # sorted
         self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.flat = np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -190,7 +190,7 @@ class Encoder:
         if place is None:
             a, c = self._each(text, starts if order is None else starts[order], ends if order is None else ends[order])
         else:
-            a, c = self.at[place][inverse], self.count[place][inverse]
+            a, c = self.at[place][inverse].astype(np.int64), self.count[place][inverse].astype(np.int64)
         if order is None:
             at, count = a, c
         else:
@@ -233,7 +233,7 @@ class Encoder:
             order = np.argsort(np.concatenate([self.key, key[new]]), kind="stable")
             joined = lambda a, b: np.concatenate([a, b])[order]
             self.low, self.high = joined(self.low, low[new]), joined(self.high, high[new])
-            self.at, self.count = joined(self.at, at), joined(self.count, count)
+            self.at, self.count = joined(self.at, at.astype(np.int32)), joined(self.count, count.astype(np.uint8))
             self.key = joined(self.key, key[new])
             place = np.searchsorted(self.key, key)
         return place

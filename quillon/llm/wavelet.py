@@ -85,11 +85,12 @@ def pack_planes(ids: np.ndarray, bits: int) -> tuple[list[bytes], list[int]]:
     current = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes, zeros = [], []
     for b in range(bits - 1, -1, -1):
-        bit = (current >> b) & 1 > 0
+        bit = (current & current.dtype.type(1 << b)) != 0
         planes.append(np.packbits(bit, bitorder="little").tobytes())
-        low = current[~bit]
+        # Taking by places is faster than by a mask.
+        low = np.flatnonzero(~bit)
         zeros.append(len(low))
-        current = np.concatenate([low, current[bit]])
+        current = np.concatenate([current.take(low), current.take(np.flatnonzero(bit))])
     return planes, zeros
 
 
@@ -102,8 +103,8 @@ def unpack_planes(planes: list[bytes], zeros: list[int], n: int) -> np.ndarray:
         bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little").view(bool)
         z = zeros[bits - 1 - b]
         above = np.empty_like(current)
-        above[~bit] = current[:z]
-        above[bit] = current[z:] | current.dtype.type(1 << b)
+        above[np.flatnonzero(~bit)] = current[:z]
+        above[np.flatnonzero(bit)] = current[z:] | current.dtype.type(1 << b)
         current = above
     return current
 
