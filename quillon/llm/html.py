@@ -49,51 +49,67 @@ SIBLINGS = {
 #: Elements that are no article text whatever their density.
 APART = frozenset("nav footer aside form script style noscript template head title button select option textarea input label iframe object embed svg canvas dialog menu search audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-#: Words in class and id that name such parts.
-APART_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager "
-    "sidebar side aside widget widgets footer foot copyright masthead topbar toolbar share sharing social related recommended recommendations "
-    "comment comments commentlist disqus respond replies reply".split()
+#: Words in class and id that name such parts. The first never hold an article; the others
+#: may be the name of what is around it, so they count only while most text is elsewhere.
+NEVER_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsors sponsored promo promos promoted promotion promotions outbrain taboola "
+    "cookie cookies consent gdpr comment comments commentlist commenting disqus respond response responses reply replies discussion guestbook "
+    "newsletter popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager "
+    "sidebar sidebars aside footer masthead topbar toolbar share sharing sharebar hidden visuallyhidden".split()
 )
+APART_NAMES = NEVER_NAMES | frozenset(
+    "banner banners notice notices notification notifications alert alerts announcement announcements disclaimer subscribe subscription signup signin login register "
+    "side rail widget widgets foot copyright social follow related recommended recommendations recommendation trending popular teaser teasers "
+    "search form forms skip thread feedback reviews header".split()
+)
+#: Words that make a named header the article's own.
+OWN_NAMES = frozenset("article entry post story content".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-NAME_PART = re.compile(r"[a-z]+")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    """skip: no part of any article. named: only its class or id says so."""
+    """skip: no part of any article. named: only its class or id says so, 2 if by a name that
+    may also be around an article."""
 
     __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "name", "named", "parent", "skip", "sum", "tags")
 
-    def __init__(self, name: str, parent: Node | None, skip: bool = False, named: bool = False):
+    def __init__(self, name: str, parent: Node | None, skip: bool = False, named: int = 0):
         self.name, self.parent, self.skip, self.named = name, parent, skip, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def apart(name: str, attributes: str, parent: Node) -> tuple[bool, bool]:
-    """(no article text, only by its class or id)."""
+def apart(name: str, attributes: str, parent: Node) -> tuple[bool, int]:
+    """(no article text, as Node.named)."""
     if name in APART or name == "header" and parent.name not in ("article", "main", "section"):
-        return True, False
+        return True, 0
+    named = 0
     for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
-        value = next((v for v in values if v), "").lower()
-        key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True, False
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        if key in ("class", "id") and name not in ("html", "body", "main") and any(w in APART_NAMES for w in NAME_PART.findall(value)):
-            return True, True
-    return False, False
+        value = next((v for v in values if v), "")
+        key, low = key.lower(), value.lower()
+        if key == "hidden" or key == "aria-hidden" and low == "true" or key == "role" and low in ROLES:
+            return True, 0
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", low):
+            return True, 0
+        if key in ("class", "id") and name not in ("html", "body", "main", "h1"):
+            words = {w.lower() for w in NAME_PART.findall(value)} | set(low.split())
+            if "header" in words and words & OWN_NAMES:
+                words.discard("header")
+            if words & NEVER_NAMES:
+                return True, 1
+            named = named or 2 * bool(words & APART_NAMES)
+    return named > 0, named
 
 
 def parse(page: str) -> Node:
     """The tree below a root; elements without content aren't in it, but for br and hr."""
     root = Node("#root", None)
     at, open_, end = 0, root, len(page)
+    candidates: list[Node] = []  # left out by a name that may be around the article
 
     def close(to: Node) -> Node:
         return to.parent or root
@@ -147,12 +163,13 @@ def parse(page: str) -> Node:
                 open_ = close(open_)
         node = Node(name, open_, *apart(name, m[3] or "", open_))
         open_.children.append(node)
+        if node.named == 2:
+            candidates.append(node)
         if name in ("article", "main") and not node.skip:
             # A wrapper around the article isn't left out for its name ("with-sidebar").
             above = open_
             while above is not None:
-                if above.named:
-                    above.skip = False
+                above.skip = above.skip and not above.named
                 above = above.parent
         if name in VOID:
             continue
@@ -166,9 +183,25 @@ def parse(page: str) -> Node:
                 at = page.find(">", stop.start()) + 1 or end
             continue
         open_ = node
+    for node in candidates:
+        if node.skip and 2 * text_of(node) > text_of(root) - text_of(node, links=True):
+            node.skip = False
     return root
 
 
+def text_of(node: Node, links: bool = False) -> int:
+    """Characters below a node that may be an article's, or those of its links."""
+    total, todo = 0, [(node, node.name == "a")]
+    while todo:
+        at, inside = todo.pop()
+        for c in at.children:
+            if isinstance(c, str):
+                total += len(c.strip()) * (inside or not links)
+            elif not c.skip or c.named == 2:
+                todo.append((c, inside or c.name == "a"))
+    return total
+
+
 def decoded(text: str) -> str:
     return entities.unescape(text) if "&" in text else text
 
@@ -234,25 +267,33 @@ def article(root: Node) -> Node:
     inner = [n for n in in_order(best) if n.name in ("article", "main") and n.chars > 0.5 * best.chars]
     if inner:
         return inner[0]
-    while best is not body and best.parent is not None and any(dense(c, threshold) for c in best.parent.children if c is not best):
+    while best is not body and best.parent is not None and any(dense(c, threshold, best) for c in best.parent.children if c is not best):
         best = best.parent
     return best
 
 
-def dense(child: Node | str, threshold: float) -> bool:
-    """A neighbour that is text as dense as the path from the body, and not links."""
-    return isinstance(child, Node) and not child.skip and is_block(child) and child.chars > 0 and child.density >= threshold and child.link_chars <= 0.5 * child.chars
+def dense(child: Node | str, threshold: float, best: Node) -> bool:
+    """A neighbour that is text as dense as the path from the body, no links, and no mere line."""
+    return isinstance(child, Node) and (child.chars >= 100 or 10 * child.chars >= best.chars) and not child.skip and is_block(child) and child.chars > 0 and child.density >= threshold and child.link_chars <= 0.5 * child.chars
 
 
 def mostly_links(node: Node) -> bool:
     return node.name in ("ul", "ol", "div", "p", "section", "table") and node.link_tags > 1 and node.link_chars > 0.8 * node.chars
 
 
+def above(node: Node) -> list[Node]:
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, one a line."""
     if not page:
         return ""
-    top = article(parse(page))
+    root = parse(page)
+    top = article(root)
     lines: list[str] = []
     line: list[str] = []
 
@@ -262,6 +303,10 @@ def extract(page: str | None) -> str:
         line.clear()
 
     todo: list[Node | str | None] = [top]
+    headings = [n for n in in_order(root) if n.name == "h1"]
+    if len(headings) == 1 and top not in above(headings[0]) and headings[0].parent in above(top):
+        # The only main heading, next to the article or to what is around it, belongs to it.
+        todo.append(headings[0])
     while todo:
         x = todo.pop()
         if x is None:

@@ -19,6 +19,11 @@ CASES = {
         f"<div class='with-sidebar'><div class=header><a href=/>Home</a></div><article><header><h1>T</h1></header><section><p>{PARAGRAPH}</p><div class='ad-box'>Buy!</div></section><ul class=share><li><a href=1>x</a><li><a href=2>y</a></ul><form>name <input></form><div id=comments><article class=comment>hi</article></div></article><aside>side</aside></div><div class=cookie-notice>We use cookies</div>",
         ["T", PARAGRAPH],
     ),
+    "heading before the content": (f"<body><div class=site-header>Site name</div><h1 class=post-header>Head</h1><div id=content><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div id=leftSidebar><p>{PARAGRAPH}</p></div>", ["Head", PARAGRAPH, PARAGRAPH]),
+    "long comments": (f"<body><div class=post><p>{PARAGRAPH}</p></div><div id='comment-list'>" + f"<p>{PARAGRAPH} I disagree.</p>" * 9 + "</div>", [PARAGRAPH]),
+    "a name around the article": (f"<body><nav>x</nav><div class='search-page'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><div class=notice>Read our rules.</div></div>", [PARAGRAPH, PARAGRAPH]),
+    "line breaks": (f"<div id=main-text>{PARAGRAPH}<br><br>{PARAGRAPH}<br/>End.</div><div class=footer>f</div>", [PARAGRAPH, PARAGRAPH, "End."]),
+    "quotes and code": (f"<main><blockquote>{PARAGRAPH}</blockquote><pre>a\n  b</pre><figure><img alt=x><figcaption>Caption</figcaption></figure><button>Go</button></main>", [PARAGRAPH, "a b", "Caption"]),
     "lists and tables": ("<article><p>a<p>b<ul><li>x<li>y</ul>c<table><tr><td>1<td>2<tr><td>3</table></article>", ["a", "b", "x", "y", "c", "1", "2", "3"]),
     "plain": ("plain &lt;text&gt; only\n here", ["plain <text> only here"]),
     "broken": ("<p>one < two <b>three</p><p>four", ["one < two three", "four"]),
