@@ -31,7 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
             base = tempfile.mkdtemp(prefix="quillon-")
             sc._quillon_scratch = base
             sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+    sc._quillon_paths = [*getattr(sc, "_quillon_paths", []), path]
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this session has written to the shared folder; returns how many folders. Call
+    it when the results that were read from there have been stored elsewhere."""
+    sc = spark.sparkContext
+    paths = getattr(sc, "_quillon_paths", [])
+    sc._quillon_paths = []
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -139,6 +153,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, mod: int, hel
 
 def column_name(wanted: str, taken: list[str]) -> str:
     """`wanted`, or `wanted` with underscores where an input column has that name already."""
-    while wanted in taken:
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
         wanted += "_"
     return wanted
+
+
+def must_be_new(names: list[str], taken: list[str]) -> None:
+    """ValueError if a result column has an input column's name."""
+    if again := {n.lower() for n in names} & {c.lower() for c in taken}:
+        raise ValueError(f"the input has a column {sorted(again)} already; name the result otherwise")

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import column_name, remainder, text_buffers
+from quillon.llm.common import column_name, must_be_new, remainder, text_buffers
 from quillon.llm.linear import linear_svm, sigmoid
 
 UNKNOWN = "und"
@@ -195,7 +195,8 @@ def fit(docs: DataFrame, mod: int = 3, held_out: int = 1, sample: int = SAMPLE)
 
 
 def predicted(docs: DataFrame, model: LanguageModel, name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score as further columns."""
+    """docs with the predicted language and its score as further columns, whose names must be new."""
+    must_be_new([name, score], docs.columns)
     schema = docs.select("*", F.lit("").alias(name), F.lit(0.0).alias(score)).schema
     for f in schema.fields[-2:]:
         f.nullable = True

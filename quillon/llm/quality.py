@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE_BYTES, Words, blocks, column_name, labelled_rows, text_buffers
+from quillon.llm.common import SPACE_BYTES, Words, blocks, column_name, labelled_rows, must_be_new, text_buffers
 from quillon.llm.linear import lasso_logistic
 
 #: Labelled rows to learn from, at most.
@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, sam
 
 
 def scored(docs: DataFrame, model: RuleModel, column: str = "score") -> DataFrame:
-    """docs with the score as a further column."""
+    """docs with the score as a further column, whose name must be new."""
+    must_be_new([column], docs.columns)
     own = column_name("_statistics", docs.columns)
     return with_statistics(docs, own).withColumn(column, model.column(own)).drop(own)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, Words, blocks, labelled_rows, text_buffers, written
+from quillon.llm.common import LOWER, Words, blocks, labelled_rows, must_be_new, text_buffers, written
 from quillon.llm.linear import ridge_logistic, sigmoid
 
 #: Labelled rows to learn from, entries of the lexicon, and candidates for it, at most.
@@ -333,7 +333,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2, sam
 
 
 def scored(docs: DataFrame, model: ToxicModel, column: str = "score") -> DataFrame:
-    """docs with the score as a further column."""
+    """docs with the score as a further column, whose name must be new."""
+    must_be_new([column], docs.columns)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)  # ENTRIES bounds it
 
