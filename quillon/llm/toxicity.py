@@ -7,6 +7,10 @@ Levenshtein automata is made deterministic state by state as the text needs it,
 distinct word of a block runs through it once, all words at a time. So misspelled terms are
 found at the cost of a table lookup for each letter.
 
+A misspelling counts only where it tells something: terms that clean texts of the sample hold
+near misses of are matched exactly, and words that clean texts hold are no misspellings. What is
+left counts as MISSPELT of an exact hit.
+
 Each hit gets a context score: hits inside quotation marks, or close to a word of reporting,
 count as quotation, others as abuse; hits that stand close together strengthen each other. A
 logistic regression over these sums gives the document's score.
@@ -31,8 +35,12 @@ from quillon.llm.linear import ridge_logistic, sigmoid
 
 #: Labelled rows to learn from, entries of the lexicon, and candidates for it, at most.
 SAMPLE, ENTRIES, CANDIDATES = 20_000, 400, 4000
+#: Near misses of clean texts that the model knows, at most.
+KNOWN = 20_000
 #: Characters of a stem.
 STEM = (4, 8)
+#: What a misspelt hit counts, and clean texts that may hold a near miss of a term.
+MISSPELT, MISSES = 0.7, 1
 #: Words on either side that make up a hit's context.
 WINDOW = 6
 
@@ -68,13 +76,14 @@ class Automaton:
     MISS = 0
     EXACT, STEMMED, FUZZY = 3, 2, 1
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], exact: frozenset[str] = frozenset()):
+        """exact: words and stems that are matched as they are."""
         self.child: list[dict[int, int]] = []
         self.ends: list[tuple[bool, bool]] = []  # a word, a stem ends at this node
         roots: dict[int, int] = {}
         for term, stem in [(w, False) for w in words] + [(s, True) for s in stems]:
             # Fuzzy stems would match too much by chance, as they accept any ending.
-            budget = 0 if stem and len(term) < 7 else edits_allowed(term)
+            budget = 0 if stem and len(term) < 7 or term in exact else edits_allowed(term)
             node = roots.setdefault(budget, self._node()) if budget not in roots else roots[budget]
             for c in term.encode():
                 if c not in self.child[node]:
@@ -168,27 +177,37 @@ class Automaton:
         return self.accept[state]
 
 
-FEATURES = ("abuse", "abuse_many", "stem", "stem_many", "fuzzy", "quoted", "close", "length")
+FEATURES = ("abuse", "abuse_many", "stem", "stem_many", "quoted", "close", "length")
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Whole words and stems, those of them that are matched as they are, and words that are no
+    misspellings of any."""
+
+    words: tuple[str, ...]
+    stems: tuple[str, ...] = ()
+    exact: frozenset[str] = frozenset()
+    known: frozenset[str] = frozenset()
 
 
 @dataclass
 class ToxicModel:
-    words: list[str]
-    stems: list[str]
+    lexicon: Lexicon
     weights: np.ndarray
     intercept: float
 
 
-_AUTOMATA: dict[tuple, Automaton] = {}
+_AUTOMATA: dict[Lexicon, tuple[Automaton, np.ndarray]] = {}
 
 
-def automaton(words: list[str], stems: list[str]) -> Automaton:
-    """The worker's automaton for this lexicon; what it has built serves later batches."""
-    key = (tuple(words), tuple(stems))
-    if key not in _AUTOMATA:
+def automaton(lexicon: Lexicon) -> tuple[Automaton, np.ndarray]:
+    """The worker's automaton for this lexicon and the hashes of the known words; what it has
+    built serves later batches."""
+    if lexicon not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[key] = Automaton(words, stems)
-    return _AUTOMATA[key]
+        _AUTOMATA[lexicon] = Automaton(list(lexicon.words), list(lexicon.stems), lexicon.exact), _hash_of(sorted(lexicon.known))
+    return _AUTOMATA[lexicon]
 
 
 def _hash_of(terms: list[str]) -> np.ndarray:
@@ -219,13 +238,21 @@ def _quote_depth(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (before % 2 == 1) & (before < total)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, words: list[str], stems: list[str]) -> np.ndarray:
+def graded(found: Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, the distinct word of each word, grade of each distinct word)."""
+    distinct, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
+    machine, known = automaton(lexicon)
+    grades = machine.run(found.text, found.starts[first], found.ends[first])
+    if len(known):
+        grades[(grades == Automaton.FUZZY) & np.isin(distinct, known)] = 0
+    return distinct, inverse, grades
+
+
+def features(raw: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """One row of FEATURES for each text."""
     n = len(offsets) - 1
-    text = fold(raw)
-    found = Words(text, offsets)
-    distinct, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
-    grades = automaton(words, stems).run(found.text, found.starts[first], found.ends[first])
+    found = Words(fold(raw), offsets)
+    distinct, inverse, grades = graded(found, lexicon)
     hit = np.flatnonzero(grades[inverse] > 0)
     grade = grades[inverse[hit]]
     doc = np.searchsorted(found.cuts, hit, side="right") - 1
@@ -234,16 +261,16 @@ def features(raw: np.ndarray, offsets: np.ndarray, words: list[str], stems: list
         reporting = np.concatenate([[0], np.cumsum(np.isin(distinct, _hash_of(REPORTING))[inverse])])
         low = np.maximum(hit - WINDOW // 2, found.cuts[doc])
         told = reporting[hit] > reporting[low]
-        # A word of reporting makes a quotation only together with a mark of one nearby.
-        near_mark = np.concatenate([[0], np.cumsum(raw == 0x3A)])
-        quoted |= told & (near_mark[found.starts[hit]] > near_mark[found.ends[low] - 1])
+        # A word of reporting makes a quotation only together with a colon.
+        colons = np.concatenate([[0], np.cumsum(raw == 0x3A)])
+        quoted |= told & (colons[found.starts[hit]] > colons[found.ends[low] - 1])
     plain = ~quoted
     close = np.zeros(len(hit), bool)
     close[1:] = (hit[1:] - hit[:-1] <= WINDOW) & (doc[1:] == doc[:-1])
-    count = lambda which: np.bincount(doc[which], minlength=n).astype(float)
-    abuse, stem = count(plain & (grade == Automaton.EXACT)), count(plain & (grade == Automaton.STEMMED))
-    fuzzy, quotes = count(plain & (grade == Automaton.FUZZY)), count(quoted)
-    return np.column_stack([abuse > 0, np.log1p(abuse), stem > 0, np.log1p(stem), np.log1p(fuzzy), np.log1p(quotes), np.log1p(count(close & plain)), np.log1p(found.count) / 10])
+    weight = np.where(grade == Automaton.FUZZY, MISSPELT, 1.0)
+    total = lambda which: np.bincount(doc[which], weight[which], n)
+    abuse, stem = total(plain & (grade != Automaton.STEMMED)), total(plain & (grade == Automaton.STEMMED))
+    return np.column_stack([np.minimum(abuse, 1), np.log1p(abuse), np.minimum(stem, 1), np.log1p(stem), np.log1p(total(quoted)), np.log1p(total(close & plain)), np.log1p(found.count) / 10])
 
 
 def _evidence(sample: DataFrame) -> DataFrame:
@@ -280,6 +307,50 @@ def terms_of(text: str | None) -> set[tuple[str, bool]]:
     return out
 
 
+def near_misses(sample: DataFrame, lexicon: Lexicon) -> dict[str, int]:
+    """Words of clean texts within a term's edits, and the texts that hold each: a few for each
+    entry of the lexicon, whatever the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            for i, j in blocks(offsets):
+                found = Words(fold(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
+                _, inverse, grades = graded(found, lexicon)
+                hit = np.flatnonzero(grades[inverse] == Automaton.FUZZY)
+                doc = np.searchsorted(found.cuts, hit, side="right") - 1
+                once = {(d, found.phrase(h, 1)[0].decode("utf-8", "replace")) for d, h in zip(doc.tolist(), hit.tolist())}
+                words = sorted(w for _, w in once)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+    rows = sample.filter("label = 0").select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
+    return {r["word"]: r["n"] for r in rows.orderBy(F.desc("n"), "word").limit(KNOWN).collect()}
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """At most so many edits turn a into b."""
+    x, y = a.encode(), b.encode()
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        below = [i]
+        for j, d in enumerate(y, 1):
+            below.append(min(row[j] + 1, below[-1] + 1, row[j - 1] + (c != d)))
+        row = below
+    return row[-1] <= most
+
+
+def with_misspellings(sample: DataFrame, words: list[str], stems: list[str]) -> Lexicon:
+    """The lexicon, with the terms whose near misses are common matched as they are."""
+    draft = Lexicon(tuple(words), tuple(stems))
+    misses = near_misses(sample, draft)
+    exact = set()
+    for term in (*words, *stems):
+        near = [n for w, n in misses.items() if abs(len(w.encode()) - len(term.encode())) <= 2 and within(w, term, edits_allowed(term)) or term in stems and w.startswith(term[:3])]
+        if sum(near) > MISSES:
+            exact.add(term)
+    return Lexicon(draft.words, draft.stems, frozenset(exact), frozenset(misses))
+
+
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Whole words and stems, greedily by the toxic texts that each explains alone."""
     pure = (F.col("toxic") >= 3) & ((F.col("toxic") + 0.1) / (F.col("toxic") + F.col("clean") + 0.2) >= 0.95)
@@ -313,23 +384,23 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2, sam
     # Copies of a text are one witness, or their rare words would look toxic.
     single = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
     once = written(rows.select("doc_id", "text").dropDuplicates(["doc_id"]).join(single.select("doc_id", "label"), "doc_id"))
-    words, stems = learn_lexicon(once)
+    lexicon = with_misspellings(once, *learn_lexicon(once))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
             for i, j in blocks(offsets):
-                x = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, stems)
+                x = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lexicon)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), *(pa.array(c) for c in x.T)], ["label", *FEATURES])
 
     got = once.select("label", "text").mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     x, y = got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["label"].to_numpy(float)
     if len(np.unique(y)) < 2:
         mean = (y.sum() + 1) / (len(y) + 2)
-        return ToxicModel(words, stems, np.zeros(len(FEATURES)), float(np.log(mean / (1 - mean))))
+        return ToxicModel(lexicon, np.zeros(len(FEATURES)), float(np.log(mean / (1 - mean))))
     order = np.lexsort((*x.T, y))  # sums don't depend on how rows arrive
     weights, intercept = ridge_logistic(x[order], y[order], l2=1e-4)
-    return ToxicModel(words, stems, weights, intercept)
+    return ToxicModel(lexicon, weights, intercept)
 
 
 def scored(docs: DataFrame, model: ToxicModel, column: str = "score") -> DataFrame:
@@ -343,7 +414,7 @@ def scored(docs: DataFrame, model: ToxicModel, column: str = "score") -> DataFra
         for batch in batches:
             raw, offsets = text_buffers(batch.column(batch.schema.names.index("text")))
             for i, j in blocks(offsets):
-                x = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], m.words, m.stems)
+                x = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], m.lexicon)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(x @ m.weights + m.intercept))], [*part.schema.names, column])
 

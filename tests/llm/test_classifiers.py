@@ -87,7 +87,7 @@ def test_toxicity(spark):
     rows += [(600, "so Dreadfull and horidly bloomin " + clean_text(rng)), (601, None), (602, ""), (603, clean_text(rng, 5000))]
     docs, labels = table(spark, rows, [(i, int(i % 4 == 0)) for i in range(600)], "toxic")
     model = toxicity.fit(docs, labels)
-    assert set(bad) <= set(model.words) and any(stem.startswith(s) or s.startswith(stem) for s in model.stems)
+    assert set(bad) <= set(model.lexicon.words) and any(stem.startswith(s) or s.startswith(stem) for s in model.lexicon.stems)
     got = {r["doc_id"]: r["s"] for r in toxicity.scored(docs, model, "s").collect()}
     held = [i for i in range(600) if remainder(i, 4) == 2]
     assert auc([i % 4 == 0 for i in held], [got[i] for i in held]) > 0.98
@@ -133,13 +133,27 @@ def test_quotation_is_told_from_abuse():
     import pyarrow as pa
 
     raw, offsets = text_buffers(pa.array(['He said "you clown" today', "you clown today", 'open " clown', "“clown” x\n clown", "he called: clown"]))
-    x = toxicity.features(raw, offsets, ["clown"], [])
+    x = toxicity.features(raw, offsets, toxicity.Lexicon(("clown",)))
     quoted = x[:, toxicity.FEATURES.index("quoted")] > 0
     abuse = x[:, toxicity.FEATURES.index("abuse")] > 0
     assert quoted.tolist() == [True, False, False, True, True]
     assert abuse.tolist() == [False, True, True, True, False]
 
 
+def test_near_misses_of_clean_texts_are_no_misspellings(spark):
+    rng = random.Random(6)
+    rows = [("trashy talk", 0), ("thrash it", 0), ("trasho", 0), ("dreadfull", 0)] + [(clean_text(rng, 20), 0) for _ in range(20)]
+    sample = spark.createDataFrame(rows, "text string, label int")
+    lexicon = toxicity.with_misspellings(sample, ["dreadful", "trash", "worthless"], [])
+    assert lexicon.exact >= {"trash"} and "worthless" not in lexicon.exact and "dreadful" not in lexicon.exact and "dreadfull" in lexicon.known
+
+    from quillon.llm.common import text_buffers
+    import pyarrow as pa
+
+    raw, offsets = text_buffers(pa.array(["trashi", "dreadfull", "dreadfu1", "w0rthless", "trash"]))
+    assert toxicity.features(raw, offsets, lexicon)[:, 0].tolist() == [0, 0, 0.7, 0.7, 1]
+
+
 LANGUAGES = {"en": "the and of tion with that this", "de": "der die und schen ung nicht über", "fr": "les des une tion que être où", "es": "los las una ción que señor más", "xx": "qqa zzo kkw vvu"}
 
 
