@@ -30,7 +30,7 @@ from quillon.llm.common import Words, blocks, text_buffers
 #: Bytes of training text in one suffix array.
 SHARD_BYTES = 6 << 20
 #: Bytes of test text in one block that is sent to the executors.
-TEST_BYTES = 32 << 20
+TEST_BYTES = 4 << 20
 
 class TestItems:
     """Windows of the test items: each distinct one once, with the items that have it."""
@@ -45,8 +45,22 @@ class TestItems:
         item = np.repeat(np.arange(len(items)), many)
         start = cuts[:-1][item] + np.arange(len(item)) - (np.cumsum(many) - many)[item]
         size = np.minimum(window, count)[item]
-        # Equal windows are found by their hashes; links() compares the text.
-        self.start, self.size, self.item = start, size, item
+        # Equal windows are one pattern, told by their words' hashes; shard_matches compares the text.
+        wide = int(size.max()) if len(size) else 0
+        inside = np.arange(wide)[None, :] < size[:, None]
+        grid = np.where(inside, self.words.hash[np.minimum(start[:, None] + np.arange(wide), max(len(self.words.hash) - 1, 0))], 0) if wide else np.zeros((0, 0), np.uint64)
+        _, first, which = np.unique(np.column_stack([size.astype(np.uint64), grid]), axis=0, return_index=True, return_inverse=True)
+        which = which.reshape(-1)
+        order = np.argsort(which, kind="stable")
+        #: Of each pattern its first window's place, its words, and all windows that are equal.
+        self.start, self.size = start[first], size[first]
+        self.windows, self.begin = order, np.searchsorted(which[order], np.arange(len(first) + 1))
+        self.all_starts, self.item = start, item
+
+    def items_of(self, patterns: tuple[int, ...]) -> set[str]:
+        """Ids of the items that have one of these patterns."""
+        rows = np.concatenate([self.windows[self.begin[p] : self.begin[p + 1]] for p in patterns])
+        return {self.ids[i] for i in np.unique(self.item[rows]).tolist()}
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -108,71 +122,100 @@ def search(ids: np.ndarray, order: np.ndarray, patterns: np.ndarray, sizes: np.n
 
 
 def shard_matches(doc: Words, test: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest verbatim matches of a window or more: first word in the shard, first word in the
-    test set, words."""
+    """Occurrences of patterns in a shard: first word there, pattern, and the number of the longest
+    verbatim match that the occurrence is part of. Sorted by match and place."""
     none = np.zeros(0, np.int64)
     if not len(doc.hash) or not len(test.start):
         return none, none, none
     # Ids by the order of the hashes, from 1; after each document a 0 that no pattern has.
     names, inverse = np.unique(doc.hash, return_inverse=True)
-    n_docs = len(doc.count)
-    shift = np.repeat(np.arange(n_docs), doc.count)
-    ids = np.zeros(len(doc.hash) + n_docs, np.int64)
-    ids[np.arange(len(doc.hash)) + shift] = inverse + 1
+    shift = np.repeat(np.arange(len(doc.count)), doc.count)
+    at_word = np.arange(len(doc.hash)) + shift
+    ids = np.zeros(len(doc.hash) + len(doc.count), np.int64)
+    ids[at_word] = inverse + 1
     word_of = np.zeros(len(ids), np.int64)
-    word_of[np.arange(len(doc.hash)) + shift] = np.arange(len(doc.hash))
+    word_of[at_word] = np.arange(len(doc.hash))
     at = np.searchsorted(names, test.words.hash)
     known = names[np.minimum(at, len(names) - 1)] == test.words.hash
     test_ids = np.where(known, at + 1, -2)
     wide = int(test.size.max())
-    grid = test.start[:, None] + np.arange(wide)[None, :]
-    patterns = np.where(np.arange(wide)[None, :] < test.size[:, None], test_ids[np.minimum(grid, len(test_ids) - 1)], -3)
+    grid = np.minimum(test.start[:, None] + np.arange(wide), len(test_ids) - 1)
+    patterns = np.where(np.arange(wide)[None, :] < test.size[:, None], test_ids[grid], -3)
     use = np.flatnonzero((patterns != -2).all(axis=1))
     if not len(use):
         return none, none, none
-    patterns, which = np.unique(np.column_stack([test.size[use], patterns[use]]), axis=0, return_inverse=True)
-    sizes, patterns = patterns[:, 0], patterns[:, 1:]
     order = suffix_array(ids, 1 << max(0, math.ceil(math.log2(wide))))
-    lo, hi = search(ids, order, patterns, sizes)
-    which = which.reshape(-1)
-    found = np.flatnonzero(hi[which] > lo[which])
-    many = (hi - lo)[which[found]]
-    entry = np.repeat(found, many)
-    slot = np.repeat(lo[which[found]], many) + np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
-    place, start, size = word_of[order[slot]], test.start[use][entry], test.size[use][entry]
-    item = test.item[use][entry]
-    # Windows that follow each other in the document and in the item are one match.
-    by = np.lexsort((place, place - start, item))
-    place, start, size, item = place[by], start[by], size[by], item[by]
+    lo, hi = search(ids, order, patterns[use], test.size[use])
+    many = hi - lo
+    pattern = np.repeat(use, many)
+    slot = np.repeat(lo, many) + np.arange(len(pattern)) - np.repeat(np.cumsum(many) - many, many)
+    place, start, size = word_of[order[slot]], test.start[pattern], test.size[pattern]
+    # Windows that follow each other in the document and in the test set are one match.
+    by = np.lexsort((place, place - start))
+    place, start, size, pattern = place[by], start[by], size[by], pattern[by]
     fresh = np.ones(len(place), bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (start[1:] != start[:-1] + 1)
+    fresh[1:] = (place[1:] != place[:-1] + 1) | (start[1:] != start[:-1] + 1)
     head = np.flatnonzero(fresh)
     run = np.diff(np.append(head, len(place)))
-    place, start, length = place[head], start[head], size[head] + run - 1
-    same = np.array([doc.phrase(p, n) == test.words.phrase(s, n) for p, s, n in zip(place.tolist(), start.tolist(), length.tolist())], bool)
-    return place[same], start[same], length[same]
+    same = np.array([doc.phrase(p, n) == test.words.phrase(s, n) for p, s, n in zip(place[head].tolist(), start[head].tolist(), (size[head] + run - 1).tolist())], bool)
+    keep = np.repeat(same, run)
+    return place[keep], pattern[keep], np.repeat(np.arange(len(head)), run)[keep]
 
 
-def judge(raw: np.ndarray, offsets: np.ndarray, tests: list) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple]]:
-    """Words, hit words, ids of the items found, and matches (document, first word there, item,
-    first word there, words) of each text."""
+def judge(raw: np.ndarray, offsets: np.ndarray, tests: list) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
+    """Words, hit words, and (items found, digest of their ids) of each text."""
     n = len(offsets) - 1
     doc = Words(raw, offsets)
     cover = np.zeros(len(doc.hash) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(n)]
-    matches = []
+    found: list[dict[int, tuple[int, ...]]] = []
     for test in tests:
         test = test.value if hasattr(test, "value") else test
-        place, start, length = shard_matches(doc, test)
+        place, pattern, _ = shard_matches(doc, test)
         np.add.at(cover, place, 1)
-        np.add.at(cover, place + length, -1)
+        np.add.at(cover, place + test.size[pattern], -1)
         which = np.searchsorted(doc.cuts, place, side="right") - 1
-        owner = np.searchsorted(test.words.cuts, start, side="right") - 1
-        for d, p, o, s, m in zip(which.tolist(), place.tolist(), owner.tolist(), start.tolist(), length.tolist()):
-            items[d].add(test.ids[o])
-            matches.append((d, p - int(doc.cuts[d]), test.ids[o], s - int(test.words.cuts[o]), m))
+        pairs = np.unique(np.column_stack([which, pattern]), axis=0)
+        docs, begin = np.unique(pairs[:, 0], return_index=True)
+        found.append({d: tuple(p.tolist()) for d, p in zip(docs.tolist(), np.split(pairs[:, 1], begin[1:]))})
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-    return doc.count, hit[doc.cuts[1:]] - hit[doc.cuts[:-1]], items, matches
+    # Documents with the same patterns have the same items.
+    digests: dict[tuple, tuple[int, str]] = {}
+
+    def digest(d: int) -> tuple[int, str]:
+        key = tuple(f.get(d, ()) for f in found)
+        if key not in digests:
+            items: set[str] = set()
+            for test, patterns in zip(tests, key):
+                if patterns:
+                    items |= (test.value if hasattr(test, "value") else test).items_of(patterns)
+            digests[key] = len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        return digests[key]
+
+    return doc.count, hit[doc.cuts[1:]] - hit[doc.cuts[:-1]], [digest(d) for d in range(n)]
+
+
+def longest(raw: np.ndarray, offsets: np.ndarray, tests: list) -> Iterator[tuple[int, int, str, int, int]]:
+    """(document, first word there, item, first word there, words) of the longest matches with
+    each item."""
+    doc = Words(raw, offsets)
+    for test in tests:
+        test = test.value if hasattr(test, "value") else test
+        place, pattern, _ = shard_matches(doc, test)
+        if not len(place):
+            continue
+        many = test.begin[pattern + 1] - test.begin[pattern]
+        at = np.repeat(test.begin[pattern], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        window = test.windows[at]
+        place, start, item, size = np.repeat(place, many), test.all_starts[window], test.item[window], np.repeat(test.size[pattern], many)
+        by = np.lexsort((place, place - start, item))
+        place, start, item, size = place[by], start[by], item[by], size[by]
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(fresh)
+        run = np.diff(np.append(head, len(place)))
+        which = np.searchsorted(doc.cuts, place[head], side="right") - 1
+        for d, p, i, s, m in zip(which.tolist(), place[head].tolist(), item[head].tolist(), start[head].tolist(), (size[head] + run - 1).tolist()):
+            yield d, p - int(doc.cuts[d]), test.ids[i], s - int(test.words.cuts[i]), m
 
 
 def test_blocks(benchmark: DataFrame, window: int, test_bytes: int = TEST_BYTES) -> list:
@@ -201,9 +244,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
             for i, j in blocks(offsets, SHARD_BYTES):
-                count, hit, items, _ = judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tests)
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(count), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                count, hit, items = judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tests)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(count), pa.array(hit), pa.array([k for k, _ in items], pa.int64()), pa.array([d for _, d in items], pa.string()), pa.array(hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return docs.select("doc_id", "text").mapInArrow(run, REPORT)
 
@@ -217,7 +259,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
             names = batch.column("doc_id").to_pylist()
             raw, offsets = text_buffers(batch.column("text"))
             for i, j in blocks(offsets, SHARD_BYTES):
-                found = judge(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tests)[3]
+                found = longest(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tests)
                 columns = list(zip(*((names[i + d], *rest) for d, *rest in found))) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "doc_word", "item_id", "item_word", "n_words"])
