@@ -29,6 +29,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -225,16 +226,16 @@ def pairs_between(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, ma
 
 
 def compare(sorted_variants: DataFrame, words: int, max_bits: int, crowd: int) -> DataFrame:
-    """block -1: a link (a, b) of representatives. Otherwise a row of a crowded key, with its
-    block's number: key in a, representative in b, and the fingerprint."""
-    fields = ["block", "a", "b", *names(words)]
+    """block -1: a link (a, b) of representatives, with its differing bits. Otherwise a row of a
+    crowded key, with its block's number: key in a, representative in b, and the fingerprint."""
+    fields = ["block", "a", "b", "bits", *names(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(a: np.ndarray, b: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), -1, np.int64), a, b, *[np.zeros(len(a), np.int64)] * words)], fields)
+        def links(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), -1, np.int64), a, b, bits, *[np.zeros(len(a), np.int64)] * words)], fields)
 
         def rows(block: int, key: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(key), block, np.int64), key, rep, *np.ascontiguousarray(fp.T).view(np.int64))], fields)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(key), block, np.int64), key, rep, np.zeros(len(key), np.int64), *np.ascontiguousarray(fp.T).view(np.int64))], fields)
 
         def take(batch: pa.RecordBatch) -> list[np.ndarray]:
             fp = np.column_stack([batch.column(f).to_numpy() for f in names(words)]).view(np.uint64)
@@ -280,7 +281,7 @@ def compare(sorted_variants: DataFrame, words: int, max_bits: int, crowd: int) -
 
 
 def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
-    """Links (a, b) among the rows of crowded keys, one pair of blocks at a time."""
+    """Links (a, b, bits) among the rows of crowded keys, one pair of blocks at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,23 +294,22 @@ def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
             for row in batch.to_pylist():
                 x, y = (np.frombuffer(row[f"fps{k}"], np.uint64).reshape(-1, words) for k in (1, 2))
                 a, b = (np.frombuffer(row[f"reps{k}"], np.int64) for k in (1, 2))
-                one, two, _ = pairs_between(x, a, y, b, max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in pairs_between(x, a, y, b, max_bits)], ["a", "b", "bits"])
 
     # A block has at most `crowd` rows, so collecting one is bounded.
     grouped = rows.groupBy("a", "block").agg(F.collect_list(F.struct("b", *names(words))).alias("rows"))
     made = written(grouped.mapInArrow(pack, "a long, block long, fps binary, reps binary"))
     left, right = (made.select(F.col("a").alias("key"), F.col("block").alias(f"block{k}"), F.col("fps").alias(f"fps{k}"), F.col("reps").alias(f"reps{k}")) for k in (1, 2))
     pairs = left.select("key", "block1").join(right.select("key", "block2"), "key").filter("block1 <= block2").repartition("key", "block1", "block2")
-    return pairs.join(left, ["key", "block1"]).join(right, ["key", "block2"]).mapInArrow(run, "a long, b long")
+    return pairs.join(left, ["key", "block1"]).join(right, ["key", "block2"]).mapInArrow(run, "a long, b long, bits long")
 
 
 def links_of(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
-    """Verified links (a, b) of representatives, fewer than a forest's for each key."""
+    """Links (a, b, bits) of representatives, those of a spanning forest for each key."""
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = variants(distinct, cut, words).repartition(partitions, "key").sortWithinPartitions("key")
     found = written(compare(sorted_, words, max_bits, crowd))
-    links, rest = found.filter("block = -1").select("a", "b"), found.filter("block >= 0")
+    links, rest = found.filter("block = -1").select("a", "b", "bits"), found.filter("block >= 0")
     if not rest.isEmpty():
         links = links.unionByName(compare_blocks(rest, words, max_bits))
     return links
@@ -336,12 +336,61 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 2, crowd:
     return found.select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
+class IdFilter:
+    """A Bloom filter of ids, of bounded size: it may let others through, and lets the more
+    through the fuller it is, but never holds one back."""
+
+    #: Bits at most, and bits for each id where there is room.
+    MOST, EACH, PROBES = 1 << 27, 16, 4
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(ids: np.ndarray, bits: int) -> np.ndarray:
+        """PROBES places for each id, one column a probe."""
+        h = mixed(ids.astype(np.int64).view(np.uint64), 1)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(h + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(IdFilter.PROBES)], axis=1)
+
+    @staticmethod
+    def of(ids: DataFrame) -> IdFilter:
+        """From a column of ids. Only the filter's words, MOST / 64 of them at most, come to the driver."""
+        count = ids.count()
+        bits = min(IdFilter.MOST, 1 << max(10, (IdFilter.EACH * count).bit_length()))
+        name = ids.columns[0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(IdFilter.places(batch.column(name).to_numpy(), bits))
+                word, first = np.unique(at >> np.uint64(6), return_index=True)
+                value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+
+        got = ids.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
+        words = np.zeros(bits // 64, np.int64)
+        words[got["word"].to_numpy(np.int64)] = got["value"].to_numpy(np.int64)
+        return IdFilter(words.view(np.uint64))
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        at = IdFilter.places(ids, 64 * len(self.words))
+        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
 def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts' sets of shingles are that similar."""
+    """The links (a, b) whose texts' sets of shingles are that similar.
+
+    Texts don't move: a filter of the linked ids goes to them, and the sets of those that pass,
+    as hashes of 8 bytes a shingle, come to the links.
+    """
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(written(ends)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_pylist()
+            use = np.flatnonzero(sent.value.may_hold(batch.column("id").to_numpy()))
+            batch = batch.take(pa.array(use))
+            ids = batch.column("id")
             raw, offsets = text_buffers(batch.column("text"))
             for i, j in blocks(offsets):
                 found: list[list[np.ndarray]] = [[] for _ in range(i, j)]
@@ -350,7 +399,7 @@ def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                     for d, part in zip(doc[cut].tolist(), np.split(h, cut[1:])):
                         found[d].append(part)
                 rows = [np.unique(np.concatenate(x)).tobytes() if x else b"" for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(rows, pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(rows, pa.binary())], ["id", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,37 +411,94 @@ def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                 keep.append(not either or both >= similarity * either - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id", "left_semi")
-    made = written(texts.mapInArrow(sets, "id long, shingles binary")).dropDuplicates(["id"])
-    left, right = (made.select(F.col("id").alias(c), F.col("shingles").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    made = written(texts.mapInArrow(sets, "id long, shingles binary"))
+    left, right = (made.select(F.col("id").alias(c), F.col("shingles").alias(n)).hint("merge") for c, n in (("a", "x"), ("b", "y")))
     return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+#: Rounds in which each component has its closest link verified, before all that are left are.
+ROUNDS = 2
+
+
+def connecting(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links that connect what all verified links would connect.
+
+    Of a large group of near copies most links are superfluous. So the closest link of each
+    component is verified first, and links inside of what is connected then are left out: they
+    couldn't change a component, whether they hold or not.
+    """
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = written(links.filter("a <> b").select(low, high, "bits").groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    # Links between components x and y; at first each id is its own.
+    left = left.select("a", "b", "bits", F.col("a").alias("x"), F.col("b").alias("y"))
+    good = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            ends = left.select(F.col("x").alias("node"), "bits", "a", "b").unionByName(left.select(F.col("y").alias("node"), "bits", "a", "b"))
+            closest = ends.groupBy("node").agg(F.min(F.struct("bits", "a", "b")).alias("link"))
+            tried = written(closest.select("link.a", "link.b").distinct())
+        else:
+            tried = written(left.select("a", "b"))
+        if tried.isEmpty():
+            break
+        held = written(verified(tried, docs, shingle, similarity))
+        good = held if good is None else written(good.unionByName(held))
+        if turn == ROUNDS:
+            break
+        label = components(good)
+        untried = left.join(tried, ["a", "b"], "left_anti").select("a", "b", "bits")
+        at = [label.select(F.col("id").alias(c), F.col("component").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+        placed = untried.join(at[0], "a", "left").join(at[1], "b", "left").select("a", "b", "bits", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+        left = written(placed.filter("x <> y"))
+    return good if good is not None else left.select("a", "b")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """doc_id, component_id of every row: texts with that Jaccard similarity link."""
     rows = docs.count()
     cut, words, allowed = likely_segments(similarity, rows)
     prints = written(fingerprint_table(docs, shingle, words))
     distinct = distinct_prints(prints, words)
-    links = verified(links_of(distinct, cut, words, allowed, crowd), docs, shingle, similarity)
+    links = connecting(links_of(distinct, cut, words, allowed, crowd), docs, shingle, similarity)
     return with_components(prints, distinct, links, words).select("doc_id", "component_id")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among the ids of `gone` (doc_id, without nulls).
+
+    A filter of the ids decides for nearly all rows that stay; only rows that it may hold move to
+    the exact anti-join, so texts of the others aren't shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(gone.select(F.col("doc_id").cast("long").alias("doc_id"))))
+
+    @F.pandas_udf("boolean")
+    def may_be_gone(ids: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.may_hold(ids.to_numpy(np.int64)))
+
+    own, name = column_name("_maybe", docs.columns), column_name("_gone", docs.columns)
+    # A series with nulls would be floating point, which can't tell large ids apart.
+    flagged = docs.withColumn(own, F.col("doc_id").isNotNull() & may_be_gone(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    stays = flagged.filter(~F.col(own)).drop(own)
+    unsure = flagged.filter(F.col(own)).drop(own)
+    ids = gone.select(F.col("doc_id").alias(name)).hint("merge")
+    return stays.unionByName(unsure.join(ids, unsure["doc_id"] == ids[name], "left_anti"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, that are first of their group by doc_id. Rows
     with a null doc_id stay; of rows that share a doc_id one stays."""
     found = written(similar_groups(docs, shingle, similarity))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"))
-    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    out = without(docs, gone)
     if again.isEmpty():
         return out
-    own = column_name("_id", docs.columns)
-    several = again.withColumnRenamed("_id", own)
-    once = out.join(several, out["doc_id"] == several[own], "left_anti")
-    return once.unionByName(out.join(several, out["doc_id"] == several[own], "left_semi").dropDuplicates(["doc_id"]))
+    several = written(again)
+    own = column_name("_several", docs.columns)
+    ids = several.withColumnRenamed("doc_id", own)
+    doubled = out.join(ids, out["doc_id"] == ids[own], "left_semi").dropDuplicates(["doc_id"])
+    return without(out, several).unionByName(doubled)
 
 
 def as_hex(column: str):
