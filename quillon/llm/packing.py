@@ -27,8 +27,9 @@ from quillon.llm.common import text_buffers, written
 from quillon.llm.tokens import encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Buckets that the pieces of one length are dealt to for ranking.
-BUCKETS = 64
+#: Buckets that the pieces of one length are dealt to for ranking, at least, and pieces for which
+#: one more is added: the most frequent length has a bounded number of rows in each task.
+BUCKETS, PER_BUCKET = 64, 2_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
@@ -125,17 +126,21 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def ranked(rows: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame, most: int) -> DataFrame:
     """Rank of each piece among those of its length, from 0, in order of (bucket, doc_id, start).
-    The window works on (length, bucket); only counts meet by length."""
-    order = ["doc_id", "start", "ids_crc32"]
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    The window works on (length, bucket); only counts meet by length. most: the pieces of the
+    most frequent length."""
+    buckets = max(BUCKETS, most // PER_BUCKET)
+    # Rows come from files, so their numbers are the same in every reading; they spread equal rows.
+    order = ["doc_id", "start", "ids_crc32", "_number"]
+    dealt = rows.withColumn("_number", F.monotonically_increasing_id()).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy("length", "_bucket").orderBy(*order)
-    # At most size * BUCKETS rows, so the counts may be broadcast.
-    return dealt.withColumn("_row", F.row_number().over(local) - 1).join(F.broadcast(counts), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row")).drop("_bucket", "_before", "_row")
+    # As few as BUCKETS for each length may be broadcast; more are joined as the window deals them.
+    counts = F.broadcast(counts) if buckets == BUCKETS else counts
+    return dealt.withColumn("_row", F.row_number().over(local) - 1).join(counts, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row")).drop("_bucket", "_before", "_row", "_number")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048) -> DataFrame:
@@ -155,4 +160,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048) ->
             kept = [batch.column(f.name) for f in batch.schema if f.name != "_rank"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(first + turn // times), pa.array(offset + turn % times * length)], [f.name for f in batch.schema if f.name != "_rank"] + ["sequence_id", "offset"])
 
-    return ranked(rows).select(*rows.columns, "_rank").mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
+    return ranked(rows, max(histogram.values(), default=0)).select(*rows.columns, "_rank").mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
