@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text is worked on in blocks of whole documents of about this many bytes, so
 #: that temporary arrays stay small next to an executor's memory.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Bytes of a space for the word definitions with ``[^\x20\x09-\x0D]``.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -123,6 +125,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give memory that was freed back to the system: workers live on between tasks, and the next
+    one of another operator may need it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own books
+            pass
+
+
 def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `size` bytes together, one row at least."""
     n, i = len(offsets) - 1, 0
@@ -131,6 +144,7 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    release()
 
 
 def remainder(column: str, mod: int):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Words, blocks, text_buffers
 
 #: Bytes of training text in one suffix array.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of test text in one block that is sent to the executors.
 TEST_BYTES = 4 << 20
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import column_name, must_be_new, remainder, text_buffers
+from quillon.llm.common import column_name, must_be_new, release, remainder, text_buffers
 from quillon.llm.linear import linear_svm, sigmoid
 
 UNKNOWN = "und"
@@ -82,6 +82,7 @@ def parts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         j = min(max(j, i + 1), i + PART_TEXTS, n)
         yield i, j
         i = j
+    release()
 
 
 @dataclass
