@@ -307,7 +307,7 @@ def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
 def links_of(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
     """Links (a, b, bits) of representatives, those of a spanning forest for each key."""
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = variants(distinct, cut, words).repartition(partitions, "key").sortWithinPartitions("key")
+    sorted_ = variants(distinct, cut, words).repartition(partitions, "key").sortWithinPartitions("key", "rep")  # the same links in every run
     found = written(compare(sorted_, words, max_bits, crowd))
     links, rest = found.filter("block = -1").select("a", "b", "bits"), found.filter("block >= 0")
     if not rest.isEmpty():
