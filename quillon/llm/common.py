@@ -136,7 +136,7 @@ def release() -> None:
             pass
 
 
-def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES, trim: bool = True) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `size` bytes together, one row at least."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -144,7 +144,8 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
-    release()
+    if trim:
+        release()
 
 
 def remainder(column: str, mod: int):

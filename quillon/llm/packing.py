@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_buffers, written
+from quillon.llm.common import release, text_buffers, written
 from quillon.llm.tokens import encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -50,6 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
                     rows.append((name, a, b - a, zlib.crc32(view[4 * a : 4 * b]), n))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
 

@@ -18,7 +18,10 @@ import numpy as np
 from quillon.llm.common import blocks
 
 #: Distinct pieces that one encoder remembers before it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
+
+#: Bytes of text that are cut at once: larger blocks have fewer distinct pieces to look up.
+TEXT_BYTES = 4 << 20
 
 LETTER, DIGIT, SPACE, OTHER, UNSAFE = 0, 1, 2, 3, 4
 
@@ -90,7 +93,7 @@ class Encoder:
         """(ids of all texts in a row, where each text's ids begin, with the end)."""
         n = len(offsets) - 1
         counts, parts = np.zeros(n, np.int64), []
-        for i, j in blocks(offsets):
+        for i, j in blocks(offsets, TEXT_BYTES, trim=False):
             ids, c = self._block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             parts.append(ids)
             counts[i:j] = c

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import blocks, shared_dir, text_buffers
-from quillon.llm.tokens import encoder
+from quillon.llm.tokens import TEXT_BYTES, encoder
 
 MAGIC = b"QWM1"
 #: Bits per entry of the rank directory.
@@ -214,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             raw, offsets = text_buffers(batch.column("text"))
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, TEXT_BYTES):
                 ids, cuts = enc.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 size = sum(held_len)
                 for d in range(i, j):
