@@ -63,8 +63,12 @@ def array_decode(column: Column, kind: FieldType) -> Column:
 
 
 def _rows(values: Column, n: int) -> Column:
-    """An array cut into arrays of n values."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / n).cast("int") - 1), lambda i: F.slice(values, i * n + 1, n))
+    """An array cut into arrays of n values. The array is a lambda's variable, so it is made once."""
+
+    def cut(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / n).cast("int") - 1), lambda i: F.slice(own, i * n + 1, n))
+
+    return F.transform(F.array(values), cut)[0]
 
 
 def create_id(column: Column, digits: int = 16) -> Column:

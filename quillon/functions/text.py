@@ -63,7 +63,11 @@ def words(text: Column) -> Column:
 
 def chunks(text: Column, size: int = 200) -> Column:
     """Array of texts of `size` words each, without overlap; an empty text has none."""
-    own = words(text)
-    count = F.ceil(F.size(own) / F.lit(size)).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda i: F.array_join(F.slice(own, i * size + 1, size), " "))
+
+    def cut(own: Column) -> Column:
+        count = F.ceil(F.size(own) / F.lit(size)).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: F.array_join(F.slice(own, i * size + 1, size), " "))
+
+    # The words are a lambda's variable, so that the text is split once and not for each chunk.
+    return F.when(text.isNotNull(), F.transform(F.array(words(text)), cut)[0])
