@@ -13,9 +13,10 @@ one differs by at most one bit with high probability, and verifies the similarit
 shingles of each link.
 
 Equal fingerprints are one node from the start, so exact copies make no pairs. Under one index
-key, sorted rows are compared as they stream by, and only a spanning forest of the verified
-links is emitted, the closest pairs first. A key with more than `crowd` fingerprints is cut into
-blocks; each pair of blocks is one row, so no task holds more than two of them.
+key, sorted rows are compared as they stream by, and only a spanning forest of the links is
+emitted, the closest pairs first. A key with more than `crowd` fingerprints is cut into blocks;
+each pair of blocks is one row, so no task holds more than two of them. `similar_groups` compares
+again, and verifies all links, where links of a forest turn out not to be similar.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like
 any other; a row with null doc_id gets its fingerprint, joins no component and has a null
@@ -193,39 +194,88 @@ def lightest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> Links:
     return a[use], b[use], bits[use]
 
 
-def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, max_bits: int) -> Links:
-    """A forest of the verified links among rows that share a key; rows are sorted by key."""
+class Near:
+    """Which rows of one key link, by differing bits: (pairs that link, bits)."""
+
+    #: Emit a forest of the links of a key, which connects what they all connect.
+    forest = True
+
+    def __init__(self, max_bits: int):
+        self.max_bits = max_bits
+
+    def __call__(self, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+        return bits <= self.max_bits, bits
+
+
+class NearApart(Near):
+    """Every link between fingerprints of different labels (the last word), each under one key
+    alone: the first of those where its ends meet."""
+
+    forest = False
+
+    def __init__(self, max_bits: int, cut: Segments):
+        super().__init__(max_bits)
+        self.cut = cut
+
+    def __call__(self, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, bits = super().__call__(key, x[..., :-1], y[..., :-1])
+        found &= x[..., -1] != y[..., -1]
+        at = np.nonzero(found)
+        x, y = (np.broadcast_to(z, (*found.shape, z.shape[-1]))[at] for z in (x, y))
+        # variants() names the key's segment and bit above its other bits.
+        name = np.broadcast_to(key, found.shape)[at].view(np.uint64) >> np.uint64(48)
+        segment, bit = (name >> np.uint64(6)).astype(np.int64), name & np.uint64(63)
+        differ = np.stack([np.bitwise_count((x[:, w] ^ y[:, w]) >> np.uint64(low) & np.uint64((1 << size) - 1)) for w, low, size in self.cut], axis=1)
+        first = (np.argmax(differ <= 1, axis=1) == segment) & ((differ[np.arange(len(name)), segment] == 1) | (bit == 0))
+        found[at] = first
+        return found, bits
+
+
+def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near) -> Iterator[Links]:
+    """The links among rows that share a key; rows are sorted by key."""
     out: list[Links] = [(np.zeros(0, np.int64),) * 3]
     rows, d, held = np.arange(len(key)), 0, 0
     while len(rows):
         d += 1
         rows = rows[rows + d < len(key)]
         rows = rows[key[rows] == key[rows + d]]
-        bits = np.bitwise_count(fp[rows] ^ fp[rows + d]).sum(axis=1, dtype=np.int64)
-        near = bits <= max_bits
-        out.append((rep[rows[near]], rep[rows[near] + d], bits[near]))
-        held += int(near.sum())
+        found, bits = near(key[rows], fp[rows], fp[rows + d])
+        out.append((rep[rows[found]], rep[rows[found] + d], bits[found]))
+        held += int(found.sum())
         if held > 1 << 18:
-            out = [lightest(*(np.concatenate(x) for x in zip(*out)))]
-            held = len(out[0][0])
-    return lightest(*(np.concatenate(x) for x in zip(*out)))
-
-
-def pairs_between(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, max_bits: int) -> Links:
-    """A forest of the verified links between two blocks, or inside one (if they are equal)."""
+            out = [tuple(np.concatenate(x) for x in zip(*out))]
+            if near.forest:
+                out = [lightest(*out[0])]
+                held = len(out[0][0])
+            else:
+                yield out.pop()
+                out, held = [(np.zeros(0, np.int64),) * 3], 0
+    links = tuple(np.concatenate(x) for x in zip(*out))
+    yield lightest(*links) if near.forest else links
+
+
+def pairs_between(key: int, x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, near: Near) -> Iterator[Links]:
+    """The links between two blocks of a key, or inside one (if they are equal)."""
     out: list[Links] = [(np.zeros(0, np.int64),) * 3]
+    same = np.array_equal(a, b)
     for i in range(0, len(x), 256):
-        bits = np.bitwise_count(x[i : i + 256, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
-        p, q = np.nonzero(bits <= max_bits)
-        use = a[p + i] != b[q]
+        found, bits = near(np.array([[key]], np.int64), x[i : i + 256, None, :], y[None, :, :])
+        p, q = np.nonzero(found)
+        use = a[p + i] < b[q] if same else a[p + i] != b[q]
         p, q = p[use], q[use]
-        out.append((a[p + i], b[q], bits[p, q]))
+        links = (a[p + i], b[q], bits[p, q])
+        if not near.forest:
+            yield links
+            continue
+        out.append(links)
         if len(out) > 4:
             out = [lightest(*(np.concatenate(z) for z in zip(*out)))]
-    return lightest(*(np.concatenate(z) for z in zip(*out)))
+    if near.forest:
+        yield lightest(*(np.concatenate(z) for z in zip(*out)))
 
 
-def compare(sorted_variants: DataFrame, words: int, max_bits: int, crowd: int) -> DataFrame:
+def compare(sorted_variants: DataFrame, words: int, near: Near, crowd: int) -> DataFrame:
     """block -1: a link (a, b) of representatives, with its differing bits. Otherwise a row of a
     crowded key, with its block's number: key in a, representative in b, and the fingerprint."""
     fields = ["block", "a", "b", "bits", *names(words)]
@@ -267,7 +317,8 @@ def compare(sorted_variants: DataFrame, words: int, max_bits: int, crowd: int) -
                         yield rows(number, key[i:j], rep[i:j], fp[i:j])
                         number += 1
                 use = np.repeat(~many & (size > 1), size)
-                yield links(*pairs_within(key[use], fp[use], rep[use], max_bits))
+                for found in pairs_within(key[use], fp[use], rep[use], near):
+                    yield links(*found)
             if held is not None:
                 if held[0][0] != crowded:
                     block = 0
@@ -280,7 +331,7 @@ def compare(sorted_variants: DataFrame, words: int, max_bits: int, crowd: int) -
     return sorted_variants.mapInArrow(run, ", ".join(f"{f} long" for f in fields))
 
 
-def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
+def compare_blocks(rows: DataFrame, words: int, near: Near) -> DataFrame:
     """Links (a, b, bits) among the rows of crowded keys, one pair of blocks at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +345,8 @@ def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
             for row in batch.to_pylist():
                 x, y = (np.frombuffer(row[f"fps{k}"], np.uint64).reshape(-1, words) for k in (1, 2))
                 a, b = (np.frombuffer(row[f"reps{k}"], np.int64) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(z) for z in pairs_between(x, a, y, b, max_bits)], ["a", "b", "bits"])
+                for found in pairs_between(row["key"], x, a, y, b, near):
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in found], ["a", "b", "bits"])
 
     # A block has at most `crowd` rows, so collecting one is bounded.
     grouped = rows.groupBy("a", "block").agg(F.collect_list(F.struct("b", *names(words))).alias("rows"))
@@ -304,17 +356,27 @@ def compare_blocks(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
     return pairs.join(left, ["key", "block1"]).join(right, ["key", "block2"]).mapInArrow(run, "a long, b long, bits long")
 
 
-def links_of(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
-    """Links (a, b, bits) of representatives, those of a spanning forest for each key."""
-    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = variants(distinct, cut, words).repartition(partitions, "key").sortWithinPartitions("key", "rep")  # the same links in every run
-    found = written(compare(sorted_, words, max_bits, crowd))
+def met(keyed: DataFrame, words: int, near: Near, crowd: int) -> DataFrame:
+    """Links (a, b, bits) of representatives whose rows (key, words, rep) meet under a key."""
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = keyed.repartition(partitions, "key").sortWithinPartitions("key", "rep")  # the same links in every run
+    found = written(compare(sorted_, words, near, crowd))
     links, rest = found.filter("block = -1").select("a", "b", "bits"), found.filter("block >= 0")
     if not rest.isEmpty():
-        links = links.unionByName(compare_blocks(rest, words, max_bits))
+        links = links.unionByName(compare_blocks(rest, words, near))
     return links
 
 
+def links_of(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
+    """Links (a, b, bits) of representatives, those of a spanning forest for each key."""
+    return met(variants(distinct, cut, words), words, Near(max_bits), crowd)
+
+
+def links_apart(labelled: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
+    """All links (a, b, bits) of representatives with different labels, which are the last word."""
+    return met(variants(labelled, cut, words + 1), words + 1, NearApart(max_bits, cut), crowd)
+
+
 def distinct_prints(prints: DataFrame, words: int) -> DataFrame:
     return prints.filter("doc_id is not null").groupBy(*names(words)).agg(F.min("doc_id").alias("rep"))
 
@@ -421,18 +483,25 @@ def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 ROUNDS = 2
 
 
-def connecting(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified links that connect what all verified links would connect.
+def placed(links: DataFrame, good: DataFrame | None) -> DataFrame:
+    """The links between different components x and y of the links `good`; with none of those each
+    id is its own component."""
+    if good is None:
+        return links.select("a", "b", "bits", F.col("a").alias("x"), F.col("b").alias("y"))
+    label = components(good)
+    at = [label.select(F.col("id").alias(c), F.col("component").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
+    found = links.join(at[0], "a", "left").join(at[1], "b", "left").select("a", "b", "bits", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    return written(found.filter("x <> y"))
+
+
+def connecting(links: DataFrame, docs: DataFrame, shingle: int, similarity: float, good: DataFrame | None = None) -> DataFrame:
+    """Verified links that connect, with those in `good`, what all verified links would connect.
 
     Of a large group of near copies most links are superfluous. So the closest link of each
     component is verified first, and links inside of what is connected then are left out: they
     couldn't change a component, whether they hold or not.
     """
-    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    left = written(links.filter("a <> b").select(low, high, "bits").groupBy("a", "b").agg(F.min("bits").alias("bits")))
-    # Links between components x and y; at first each id is its own.
-    left = left.select("a", "b", "bits", F.col("a").alias("x"), F.col("b").alias("y"))
-    good = None
+    left = placed(links, good)
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             ends = left.select(F.col("x").alias("node"), "bits", "a", "b").unionByName(left.select(F.col("y").alias("node"), "bits", "a", "b"))
@@ -446,21 +515,44 @@ def connecting(links: DataFrame, docs: DataFrame, shingle: int, similarity: floa
         good = held if good is None else written(good.unionByName(held))
         if turn == ROUNDS:
             break
-        label = components(good)
-        untried = left.join(tried, ["a", "b"], "left_anti").select("a", "b", "bits")
-        at = [label.select(F.col("id").alias(c), F.col("component").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
-        placed = untried.join(at[0], "a", "left").join(at[1], "b", "left").select("a", "b", "bits", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-        left = written(placed.filter("x <> y"))
+        left = placed(left.join(tried, ["a", "b"], "left_anti").select("a", "b", "bits"), good)
     return good if good is not None else left.select("a", "b")
 
 
+def in_order(links: DataFrame) -> DataFrame:
+    """Each link once, its lesser end as a."""
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return written(links.filter("a <> b").select(low, high, "bits").groupBy("a", "b").agg(F.min("bits").alias("bits")))
+
+
+def all_connecting(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links that connect what the verified ones among all candidates would connect.
+
+    A forest of each key's candidates comes first. Where all of a group of candidates is connected
+    once they are verified, its other candidates are superfluous. Fingerprints of the groups that
+    aren't are compared again, and every candidate between what isn't connected is verified.
+    """
+    first = in_order(links_of(distinct, cut, words, max_bits, crowd))
+    good = connecting(first, docs, shingle, similarity)
+    label = components(good).withColumnRenamed("component", "label")
+    nodes = written(components(first).join(label, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
+    broken = nodes.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("component")
+    apart = nodes.join(broken, "component").select(F.col("id").alias("rep"), F.col("label").alias(f"f{words}"))
+    again = written(distinct.join(apart, "rep").select(*names(words + 1), "rep"))
+    if again.isEmpty():
+        return good
+    # What the first links left between components is refuted.
+    rest = in_order(links_apart(again, cut, words, max_bits, crowd)).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return connecting(written(rest), docs, shingle, similarity, good)
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """doc_id, component_id of every row: texts with that Jaccard similarity link."""
     rows = docs.count()
     cut, words, allowed = likely_segments(similarity, rows)
     prints = written(fingerprint_table(docs, shingle, words))
     distinct = distinct_prints(prints, words)
-    links = connecting(links_of(distinct, cut, words, allowed, crowd), docs, shingle, similarity)
+    links = all_connecting(distinct, cut, words, allowed, crowd, docs, shingle, similarity)
     return with_components(prints, distinct, links, words).select("doc_id", "component_id")
 
 

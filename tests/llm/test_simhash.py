@@ -108,6 +108,22 @@ def test_similar_groups(spark):
     assert sorted(i for i in found if i) == sorted({got[i] for i in ids}) and found.count(None) == 1
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
+def test_groups_of_copies_around_the_limit(spark, crowd):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    ids = {}
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3])):
+            copy[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+        ids[i] = " ".join(copy)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, ids.items()), crowd=crowd).collect()}
+    want = brute_components(ids, [(a, b) for a, b in itertools.combinations(ids, 2) if jaccard(ids[a], ids[b]) >= 0.8])
+    assert len(set(got.values())) <= len(set(want.values())) + 1
+    assert all(want[i] == want[got[i]] for i in ids)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
