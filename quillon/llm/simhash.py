@@ -12,7 +12,8 @@ more: such texts differ in a seventh of the bits, so it takes more, shorter segm
 one differs by at most one bit with high probability, and verifies the similarity itself on the
 shingles of each link.
 
-Equal fingerprints are one node from the start, so exact copies make no pairs. Under one index
+Equal fingerprints, or in `similar_groups` equal sets of shingles, are one node from the start,
+so exact copies make no pairs. Under one index
 key, sorted rows are compared as they stream by, and only a spanning forest of the links is
 emitted, the closest pairs first. A key with more than `crowd` fingerprints is cut into blocks;
 each pair of blocks is one row, so no task holds more than two of them. `similar_groups` compares
@@ -103,6 +104,16 @@ def mixed(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    found: list[list[np.ndarray]] = [[] for _ in range(len(offsets) - 1)]
+    for doc, h in shingle_hashes(raw, offsets, shingle):
+        cut = np.flatnonzero(np.diff(doc, prepend=-1))
+        for d, part in zip(doc[cut].tolist(), np.split(h, cut[1:])):
+            found[d].append(part)
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
+
+
 def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
     """uint64 fingerprint of each text, one column a word: bits set in over half of the hashes."""
     n = len(offsets) - 1
@@ -133,6 +144,26 @@ def fingerprint_table(docs: DataFrame, shingle: int, words: int = 1) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in names(words)))
 
 
+#: Hash of 128 bits of a text's set of shingles.
+SET = ["s0", "s1"]
+
+
+def set_table(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """fingerprint_table with the hash of each text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column("text"))
+            ids = batch.column("doc_id").cast(pa.int64())
+            for i, j in blocks(offsets):
+                own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                fp = fingerprints(*own, shingle, words)
+                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(*own, shingle)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*fp.T, *whole.T))], ["doc_id", *names(words), *SET])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in (*names(words), *SET)))
+
+
 Segments = list[tuple[int, int, int]]  # (word, lowest bit, bits)
 
 
@@ -377,15 +408,17 @@ def links_apart(labelled: DataFrame, cut: Segments, words: int, max_bits: int, c
     return met(variants(labelled, cut, words + 1), words + 1, NearApart(max_bits, cut), crowd)
 
 
-def distinct_prints(prints: DataFrame, words: int) -> DataFrame:
-    return prints.filter("doc_id is not null").groupBy(*names(words)).agg(F.min("doc_id").alias("rep"))
+def distinct_nodes(prints: DataFrame, node: list[str], other: list[str] = []) -> DataFrame:
+    """One row for each value of the columns `node`, with its least doc_id as rep and what that
+    row has in the columns `other`."""
+    return prints.filter("doc_id is not null").groupBy(*node).agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in other))
 
 
-def with_components(prints: DataFrame, distinct: DataFrame, links: DataFrame, words: int) -> DataFrame:
-    """prints with component_id: the least doc_id that a row's fingerprint reaches."""
+def with_components(prints: DataFrame, distinct: DataFrame, links: DataFrame, node: list[str]) -> DataFrame:
+    """prints with component_id: the least doc_id that a row's node reaches."""
     joined = components(links)
-    classes = written(distinct.join(joined, distinct["rep"] == joined["id"], "left").select(*names(words), F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(classes, names(words), "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    classes = written(distinct.join(joined, distinct["rep"] == joined["id"], "left").select(*node, F.coalesce("component", "rep").alias("component_id")))
+    return prints.join(classes, node, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
@@ -393,8 +426,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 2, crowd:
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits must be from 0 to 7")
     prints = written(fingerprint_table(docs, shingle))
-    distinct = distinct_prints(prints, 1)
-    found = with_components(prints, distinct, links_of(distinct, segments(max_bits), 1, max_bits, crowd), 1)
+    distinct = distinct_nodes(prints, names(1))
+    found = with_components(prints, distinct, links_of(distinct, segments(max_bits), 1, max_bits, crowd), names(1))
     return found.select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
@@ -455,12 +488,7 @@ def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float)
             ids = batch.column("id")
             raw, offsets = text_buffers(batch.column("text"))
             for i, j in blocks(offsets):
-                found: list[list[np.ndarray]] = [[] for _ in range(i, j)]
-                for doc, h in shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle):
-                    cut = np.flatnonzero(np.diff(doc, prepend=-1))
-                    for d, part in zip(doc[cut].tolist(), np.split(h, cut[1:])):
-                        found[d].append(part)
-                rows = [np.unique(np.concatenate(x)).tobytes() if x else b"" for x in found]
+                rows = [x.tobytes() for x in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(rows, pa.binary())], ["id", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -550,10 +578,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     """doc_id, component_id of every row: texts with that Jaccard similarity link."""
     rows = docs.count()
     cut, words, allowed = likely_segments(similarity, rows)
-    prints = written(fingerprint_table(docs, shingle, words))
-    distinct = distinct_prints(prints, words)
+    prints = written(set_table(docs, shingle, words))
+    # Fingerprints of different sets can be equal, so the set is the node.
+    distinct = written(distinct_nodes(prints, SET, names(words)))
     links = all_connecting(distinct, cut, words, allowed, crowd, docs, shingle, similarity)
-    return with_components(prints, distinct, links, words).select("doc_id", "component_id")
+    return with_components(prints, distinct, links, SET).select("doc_id", "component_id")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -124,6 +125,15 @@ def test_groups_of_copies_around_the_limit(spark, crowd):
     assert all(want[i] == want[got[i]] for i in ids)
 
 
+def test_repeated_lines_make_no_links(spark):
+    rng = random.Random(4)
+    line = " the same line of seven words here"
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(200)) + line * 100 for _ in range(2)]
+    prints = {simhash.fingerprints(*simhash.text_buffers(pa.array([t])), 5, 2).tobytes() for t in texts}
+    assert len(prints) == 1 and jaccard(*texts) < 0.1
+    assert [r["component_id"] for r in simhash.similar_groups(frame(spark, enumerate(texts))).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
