@@ -10,7 +10,9 @@ and finds every such link: it cuts into so few segments that one of them must di
 at most. `similar_groups` links texts whose sets of shingles have a Jaccard similarity of 0.8 or
 more: such texts differ in a seventh of the bits, so it takes more, shorter segments, of which
 one differs by at most one bit with high probability, and verifies the similarity itself on the
-shingles of each link.
+shingles of each link. Its fingerprints count each distinct shingle once, as the similarity does.
+Texts of few shingles meet under the least of their shingles instead, and no link of theirs is
+missed.
 
 Equal fingerprints, or in `similar_groups` equal sets of shingles, are one node from the start,
 so exact copies make no pairs. Under one index
@@ -116,9 +118,18 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.
 
 def fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
     """uint64 fingerprint of each text, one column a word: bits set in over half of the hashes."""
-    n = len(offsets) - 1
+    return fingerprints_of(shingle_hashes(raw, offsets, shingle), len(offsets) - 1, words)
+
+
+def set_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """fingerprints() with each distinct hash counted once."""
+    doc, h = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([np.zeros(0, np.uint64), *sets])
+    return fingerprints_of(((doc[i : i + CHUNK], h[i : i + CHUNK]) for i in range(0, len(doc), CHUNK)), len(sets), words)
+
+
+def fingerprints_of(hashes: Iterator[tuple[np.ndarray, np.ndarray]], n: int, words: int) -> np.ndarray:
     ones, count = np.zeros((n, words, 64), np.int64), np.zeros(n, np.int64)
-    for doc, values in shingle_hashes(raw, offsets, shingle):
+    for doc, values in hashes:
         cut = np.flatnonzero(np.diff(doc, prepend=-1))
         count[doc[cut]] += np.diff(np.append(cut, len(doc)))
         for w in range(words):
@@ -148,20 +159,50 @@ def fingerprint_table(docs: DataFrame, shingle: int, words: int = 1) -> DataFram
 SET = ["s0", "s1"]
 
 
-def set_table(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """fingerprint_table with the hash of each text's set of shingles."""
+#: Texts with so many distinct shingles or fewer are compared by their shingles alone: their
+#: fingerprints, of few hashes, vary more than those of longer texts.
+SHORT = 32
+
+
+def set_table(docs: DataFrame, shingle: int, words: int, most: int) -> DataFrame:
+    """doc_id, the words of the fingerprint over each text's distinct shingles, the hash of their
+    set, their count n, and their hashes in order if they are `most` or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
             ids = batch.column("doc_id").cast(pa.int64())
             for i, j in blocks(offsets):
-                own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                fp = fingerprints(*own, shingle, words)
-                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in shingle_sets(*own, shingle)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*fp.T, *whole.T))], ["doc_id", *names(words), *SET])
+                sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                fp = set_fingerprints(sets, words)
+                whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+                few = pa.array([x.tobytes() if len(x) <= most else None for x in sets], pa.binary())
+                longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*fp.T, *whole.T, np.array([len(x) for x in sets], np.int64))]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *longs, few], ["doc_id", *names(words), *SET, "n", "few"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in (*names(words), *SET, "n")) + ", few binary")
+
+
+def at_least(similarity: float, n: np.ndarray) -> np.ndarray:
+    """Shingles that a set of n must share with any that is so similar."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def prefixes(few: DataFrame, similarity: float, most: int) -> DataFrame:
+    """key, the hashes as words, rep: a row for each of a set's least hashes, so many that a set
+    without any of them shares too few of its hashes."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in (*names(words), *SET)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("few")]
+            size = np.array([len(x) for x in sets], np.int64)
+            padded = np.zeros((len(sets), most), np.uint64)
+            padded[np.arange(most) < size[:, None]] = np.concatenate([np.zeros(0, np.uint64), *sets])
+            row, place = np.nonzero(np.arange(most) < (size - at_least(similarity, size) + (size > 0))[:, None])
+            columns = [padded[row, place], *padded[row].T, batch.column("rep").to_numpy()[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], ["key", *names(most), "rep"])
+
+    return few.select("few", "rep").mapInArrow(run, "key long, " + ", ".join(f"{f} long" for f in (*names(most), "rep")))
 
 
 Segments = list[tuple[int, int, int]]  # (word, lowest bit, bits)
@@ -263,6 +304,26 @@ class NearApart(Near):
         return found, bits
 
 
+class NearSets(Near):
+    """Sets of hashes, padded with zeros, of that Jaccard similarity."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def __call__(self, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, q = (x != 0).sum(axis=-1), (y != 0).sum(axis=-1)
+        found = np.minimum(p, q) >= at_least(self.similarity, np.maximum(p, q))
+        at = np.nonzero(found)
+        x, y = (np.broadcast_to(z, (*found.shape, z.shape[-1]))[at] for z in (x, y))
+        both = np.zeros(len(x), np.int64)
+        for i in range(x.shape[-1]):
+            both += ((x[:, i, None] == y) & (y != 0)).any(axis=1)
+        either = (p + q)[at] - both
+        found[at] = both >= self.similarity * either - 1e-12
+        bits = np.zeros(found.shape, np.int64)  # no link of these is closer than another: all hold
+        return found, bits
+
+
 def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near) -> Iterator[Links]:
     """The links among rows that share a key; rows are sorted by key."""
     out: list[Links] = [(np.zeros(0, np.int64),) * 3]
@@ -290,8 +351,9 @@ def pairs_between(key: int, x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.n
     """The links between two blocks of a key, or inside one (if they are equal)."""
     out: list[Links] = [(np.zeros(0, np.int64),) * 3]
     same = np.array_equal(a, b)
-    for i in range(0, len(x), 256):
-        found, bits = near(np.array([[key]], np.int64), x[i : i + 256, None, :], y[None, :, :])
+    step = max(1, 512 // x.shape[1])
+    for i in range(0, len(x), step):
+        found, bits = near(np.array([[key]], np.int64), x[i : i + step, None, :], y[None, :, :])
         p, q = np.nonzero(found)
         use = a[p + i] < b[q] if same else a[p + i] != b[q]
         p, q = p[use], q[use]
@@ -578,11 +640,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     """doc_id, component_id of every row: texts with that Jaccard similarity link."""
     rows = docs.count()
     cut, words, allowed = likely_segments(similarity, rows)
-    prints = written(set_table(docs, shingle, words))
+    most = int(SHORT / similarity + 1e-9)  # shingles of a text that is similar to a short one
+    prints = written(set_table(docs, shingle, words, most))
     # Fingerprints of different sets can be equal, so the set is the node.
-    distinct = written(distinct_nodes(prints, SET, names(words)))
-    links = all_connecting(distinct, cut, words, allowed, crowd, docs, shingle, similarity)
-    return with_components(prints, distinct, links, SET).select("doc_id", "component_id")
+    distinct = written(distinct_nodes(prints, SET, [*names(words), "n", "few"]))
+    links = all_connecting(distinct.filter(F.col("n") > SHORT), cut, words, allowed, crowd, docs, shingle, similarity)
+    short = met(prefixes(distinct.filter("n > 0 and few is not null"), similarity, most), most, NearSets(similarity), crowd)
+    links = links.unionByName(short.select("a", "b"))
+    return with_components(prints.select("doc_id", *SET), distinct, links, SET).select("doc_id", "component_id")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

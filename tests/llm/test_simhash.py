@@ -134,6 +134,22 @@ def test_repeated_lines_make_no_links(spark):
     assert [r["component_id"] for r in simhash.similar_groups(frame(spark, enumerate(texts))).orderBy("doc_id").collect()] == [0, 1]
 
 
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 3])
+def test_links_of_short_texts_and_repeats(spark, crowd):
+    rng = random.Random(6)
+    ids = {}
+    for k in range(60):
+        n = rng.choice([8, 8, 12, 36])
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        ids[2 * k], ids[2 * k + 1] = " ".join(words), " ".join([*words, *(f"n{i}" for i in range((n - 4) // 4))])
+    for k, times in enumerate((10, 20, 40)):
+        text = " ".join(f"w{rng.randrange(3000)}" for _ in range(300))
+        ids[200 + 2 * k], ids[201 + 2 * k] = text, text + " the same line of seven words here" * times
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame(spark, ids.items()), crowd=crowd).collect()}
+    want = brute_components(ids, [(a, b) for a, b in itertools.combinations(ids, 2) if jaccard(ids[a], ids[b]) >= 0.8])
+    assert len(set(want.values())) == 63 and got == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
