@@ -220,13 +220,13 @@ def share_of_bits(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def likely_segments(similarity: float, rows: int) -> tuple[Segments, int, int]:
-    """(segments, words, differing bits that verification allows) for texts of this similarity.
+#: Bits of a segment of likely_segments, for tables of any size: what links mustn't depend on it.
+WIDTH = 16
 
-    Segments are as long as chance meetings of `rows` fingerprints call for, and as many as
-    RECALL needs.
-    """
-    width = next((w for w in (16, 21, 24) if rows <= 1 << (w + 4)), 32)
+
+def likely_segments(similarity: float, width: int = WIDTH) -> tuple[Segments, int, int]:
+    """(segments, words, differing bits that verification allows) for texts of this similarity:
+    as many segments as RECALL needs."""
     p = share_of_bits(similarity)
     meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
     count = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - meets)))
@@ -638,8 +638,7 @@ def all_connecting(distinct: DataFrame, cut: Segments, words: int, max_bits: int
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """doc_id, component_id of every row: texts with that Jaccard similarity link."""
-    rows = docs.count()
-    cut, words, allowed = likely_segments(similarity, rows)
+    cut, words, allowed = likely_segments(similarity)
     most = int(SHORT / similarity + 1e-9)  # shingles of a text that is similar to a short one
     prints = written(set_table(docs, shingle, words, most))
     # Fingerprints of different sets can be equal, so the set is the node.

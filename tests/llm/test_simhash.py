@@ -150,6 +150,10 @@ def test_links_of_short_texts_and_repeats(spark, crowd):
     assert len(set(want.values())) == 63 and got == want
 
 
+def test_one_layout_at_every_size():
+    assert simhash.likely_segments(0.8) == ([(k // 4, 16 * (k % 4), 16) for k in range(8)], 2, 29)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
