@@ -3,8 +3,8 @@
 The two public vocabularies cut a text into pieces first (runs of letters, digits, other
 characters) and encode each piece alone. Texts made of plain Latin characters are therefore
 cut with NumPy, each *distinct* piece is encoded once by the library, and the ids are put
-together by position. All other texts, and other tokenizer files, go through the library
-whole. Both ways give the library's ids; tests compare them.
+together by position. All other texts, those that hold an added token of the file (such as an end
+of text), and other tokenizer files, go through the library whole. Both ways give the library's ids; tests compare them.
 """
 
 from __future__ import annotations
@@ -64,10 +64,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = self._kind(spec)
+        #: In lower case, as a normalizer may make them appear; a text with one goes to the library.
+        self.added = [t["content"].lower().encode() for t in spec.get("added_tokens") or [] if t["content"]]
+        if not all(re.fullmatch(rb"[!-~]+", t) for t in self.added):
+            self.kind = "whole"
         self._reset()
 
     @staticmethod
@@ -107,6 +110,7 @@ class Encoder:
             kinds = CLASSES[raw]
             bad = np.concatenate([[0], np.cumsum(~safe(raw, kinds))])
             odd = bad[offsets[1:]] > bad[offsets[:-1]]
+            odd[np.searchsorted(offsets, self._added_at(raw), side="right") - 1] = True
         texts = [raw[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1][odd], offsets[1:][odd])]
         slow = self.whole(texts)
         if odd.all():
@@ -140,6 +144,11 @@ class Encoder:
                 out.append(ids[cuts[d] : cuts[d + 1]])
         return np.concatenate(out), per
 
+    def _added_at(self, raw: np.ndarray) -> np.ndarray:
+        """Where an added token of the file may begin."""
+        text = raw.tobytes().lower() if self.added else b""
+        return np.array([m.start() for t in self.added if t in text for m in re.finditer(re.escape(t), text)], np.int64)
+
     def _cut(self, raw: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin and end."""
         size = len(raw)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quillon.llm import packing, wavelet
 from quillon.llm.common import text_buffers
@@ -35,6 +36,14 @@ def test_odd_texts(path):
     assert ids_of(path, [*ODD, None]) == [library(path, t) for t in [*ODD, None]]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens(path):
+    fresh = Tokenizer.from_file(path)
+    texts = ["one two", "one<|endoftext|>two", "<|", "endoftext|>", "<|startoftext|>a <|EndOfText|>", "", "<|endoftext|>", *ODD]
+    assert ids_of(path, texts) == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {BYTES: 50256, WORDS: 49407}[path] in ids_of(path, texts)[1]
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aBé ÉßñT1 9!'?\n\t.-日 "), max_size=30), max_size=6))
