@@ -7,8 +7,8 @@ ones), and packs with equal content are one pattern with a count. Patterns are j
 the pieces by each piece's rank among the pieces of its length. Ranks come from counts of
 (length, bucket), so that a length which a third of all rows share is split as well.
 
-Defined results: a null text is empty (it has the end id alone); an empty table gives no rows;
-repeated rows are packed each for itself; other columns are ignored.
+Defined results: a null text is empty (it has the end id alone); a null doc_id is kept as it is; an
+empty table gives no rows; repeated rows are packed each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import release, text_buffers, written
-from quillon.llm.tokens import encoder
+from quillon.llm.common import blocks, text_buffers, written
+from quillon.llm.tokens import TEXT_BYTES, encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Buckets that the pieces of one length are dealt to for ranking, at least, and pieces for which
@@ -40,17 +40,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             raw, offsets = text_buffers(batch.column("text"))
-            ids, cuts = enc.encode(raw, offsets)
-            rows: list[tuple] = []
-            for d, name in enumerate(names):
-                own = np.append(ids[cuts[d] : cuts[d + 1]], np.uint32(end_id)).astype("<u4")
-                view, n = memoryview(own.tobytes()), len(own)
-                for a in range(0, n, size):
-                    b = min(a + size, n)
-                    rows.append((name, a, b - a, zlib.crc32(view[4 * a : 4 * b]), n))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            release()
+            for i, j in blocks(offsets, TEXT_BYTES):
+                ids, cuts = enc.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows: list[tuple] = []
+                for d, name in enumerate(names[i:j]):
+                    own = np.append(ids[cuts[d] : cuts[d + 1]], np.uint32(end_id)).astype("<u4")
+                    view, n = memoryview(own.tobytes()), len(own)
+                    for a in range(0, n, size):
+                        b = min(a + size, n)
+                        rows.append((name, a, b - a, zlib.crc32(view[4 * a : 4 * b]), n))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
 
