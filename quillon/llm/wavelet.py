@@ -1,9 +1,10 @@
 """Token-ID output: one wavelet matrix per shard.
 
 A shard holds the ids of whole documents in a row. Each bit of the ids, from the highest, is
-one succinct bit-plane; after each plane the ids are dealt stably, zeros first. With rank and
-select on the planes a shard answers access(i), rank, count, select and occurrences(token)
-without unpacking the ids. The planes are compressed, so one file holds everything.
+one succinct bit-plane; after each plane the ids are dealt stably, zeros first. A directory in the
+file has the ones before every STEP bits of each plane, so rank and select need no pass over a
+plane: a shard answers access(i), rank, count, select and occurrences(token) without unpacking the
+ids. Planes and directory are compressed, so one file holds everything.
 
 Documents are dealt by ranges of doc_id and written in ascending order through Spark's own
 writer (one row holds the bytes of one shard file), so that any store works and a lost
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import blocks, shared_dir, text_buffers
 from quillon.llm.tokens import TEXT_BYTES, encoder
 
-MAGIC = b"QWM1"
+MAGIC = b"QWM2"
 #: Bits per entry of the rank directory.
 STEP = 512
 #: Ids per shard: small enough that its planes are dealt within a core's cache.
@@ -40,44 +41,61 @@ SHARD_SCHEMA = "part int, seq int, start long, n_docs long, n_tokens long, paylo
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def directory(packed: bytes) -> np.ndarray:
+    """Ones of a plane before every STEP bits, and all of them."""
+    per = STEP // 8
+    blocks_ = np.zeros(-(-max(len(packed), 1) // per) * per, np.uint8)
+    blocks_[: len(packed)] = np.frombuffer(packed, np.uint8)
+    ones = np.bitwise_count(blocks_.view(np.uint64)).reshape(-1, STEP // 64).sum(axis=1, dtype=np.uint32)
+    return np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
+
+
 class BitVector:
-    """Packed bits (little-endian) with a rank directory."""
+    """Packed bits (little-endian) and their directory. Places may be one number or an array."""
 
-    def __init__(self, packed: np.ndarray, n: int):
-        self.n = n
-        words = np.zeros(-(-max(n, 1) // STEP) * (STEP // 8), np.uint8)
-        words[: len(packed)] = packed
+    def __init__(self, packed: bytes, ones_before: np.ndarray, n: int):
+        self.n, self.ones_before = n, ones_before.astype(np.int64)
+        words = np.zeros((len(ones_before) - 1) * (STEP // 8), np.uint8)
+        words[: len(packed)] = np.frombuffer(packed, np.uint8)
         self.words = words.view(np.uint64)
-        per = np.bitwise_count(self.words).astype(np.int64).reshape(-1, STEP // 64).sum(axis=1)
-        self.ones_before = np.concatenate([[0], np.cumsum(per)])
-        self.ones = int(self.ones_before[-1])
 
-    def get(self, i: int) -> int:
-        return int(self.words[i >> 6] >> np.uint64(i & 63)) & 1
+    def get(self, i):
+        i = np.asarray(i, np.int64)
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)).astype(np.int64) & 1
 
-    def rank1(self, i: int) -> int:
+    def rank1(self, i):
         """Ones among the first i bits."""
-        block = i // STEP
-        count = int(self.ones_before[block])
-        for w in range(block * (STEP // 64), i >> 6):
-            count += int(np.bitwise_count(self.words[w]))
-        if i & 63:
-            count += int(np.bitwise_count(self.words[i >> 6] & np.uint64((1 << (i & 63)) - 1)))
-        return count
-
-    def rank(self, bit: int, i: int) -> int:
-        return self.rank1(i) if bit else i - self.rank1(i)
-
-    def select(self, bit: int, k: int) -> int:
-        """Place of the k-th such bit, counted from 0."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.rank(bit, mid + 1) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        i = np.asarray(i, np.int64)
+        count, first, last = self.ones_before[i // STEP], i // STEP * (STEP // 64), i >> 6
+        for k in range(STEP // 64):
+            at = np.minimum(first + k, len(self.words) - 1)
+            count = count + np.where(first + k < last, np.bitwise_count(self.words[at]), 0)
+        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return count + np.bitwise_count(self.words[np.minimum(last, len(self.words) - 1)] & below)
+
+    def rank(self, bit: int, i):
+        return self.rank1(i) if bit else np.asarray(i, np.int64) - self.rank1(i)
+
+    def select(self, bit: int, k):
+        """Place of the k-th such bit, counted from 0: the directory names the block, counts of its
+        words the word, and halving the bit."""
+        k = np.asarray(k, np.int64)
+        before = self.ones_before if bit else STEP * np.arange(len(self.ones_before)) - self.ones_before
+        block = np.searchsorted(before, k, side="right") - 1
+        left, word = k - before[block], block * (STEP // 64)
+        full = np.uint64(0) if bit else np.uint64(0xFFFFFFFFFFFFFFFF)
+        done = np.zeros(k.shape, bool)
+        for _ in range(STEP // 64 - 1):
+            here = np.bitwise_count(self.words[word] ^ full).astype(np.int64)
+            done |= left < here
+            left, word = np.where(done, left, left - here), np.where(done, word, word + 1)
+        x, at = self.words[word] ^ full, np.zeros(k.shape, np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(x & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = left >= low
+            left, at = np.where(up, left - low, left), np.where(up, at + half, at)
+            x = np.where(up, x >> np.uint64(half), x)
+        return word * 64 + at
 
 
 def pack_planes(ids: np.ndarray, bits: int) -> tuple[list[bytes], list[int]]:
@@ -116,7 +134,8 @@ def to_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) ->
     press = zstandard.ZstdCompressor(level=1)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.array(lengths, "<i8").tobytes()
-    parts = [press.compress(docs), *(press.compress(p) for p in planes)]
+    counts = np.concatenate([directory(p) for p in planes]).tobytes()
+    parts = [press.compress(docs), press.compress(counts), *(press.compress(p) for p in planes)]
     head = struct.pack("<4sBQQ", MAGIC, bits, len(ids), len(doc_ids)) + np.array(zeros, "<u8").tobytes()
     return head + np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
 
@@ -131,13 +150,14 @@ class Shard:
         at = struct.calcsize("<4sBQQ")
         self.zeros = np.frombuffer(data, "<u8", bits, at).astype(np.int64).tolist()
         at += 8 * bits
-        sizes = np.frombuffer(data, "<u8", bits + 1, at).astype(np.int64).tolist()
-        at += 8 * (bits + 1)
+        sizes = np.frombuffer(data, "<u8", bits + 2, at).astype(np.int64).tolist()
+        at += 8 * (bits + 2)
         parts, unpress = [], zstandard.ZstdDecompressor()
         for s in sizes:
             parts.append(unpress.decompress(data[at : at + s]))
             at += s
-        table, self.planes = parts[0], parts[1:]
+        table, counts, self.planes = parts[0], parts[1], parts[2:]
+        self.directories = np.frombuffer(counts, "<u4").reshape(bits, -1)
         known = np.frombuffer(table, np.uint8, docs, 8 * docs)
         self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(table, "<i8", docs), known)]
         self.lengths = np.frombuffer(table, "<i8", docs, 9 * docs)
@@ -146,19 +166,21 @@ class Shard:
     @property
     def vectors(self) -> list[BitVector]:
         if self._vectors is None:
-            self._vectors = [BitVector(np.frombuffer(p, np.uint8), self.n) for p in self.planes]
+            self._vectors = [BitVector(p, d, self.n) for p, d in zip(self.planes, self.directories)]
         return self._vectors
 
     def ids(self) -> np.ndarray:
         return unpack_planes(self.planes, self.zeros, self.n)
 
-    def access(self, i: int) -> int:
-        token = 0
+    def access(self, i):
+        """The id at a place, or the ids at an array of places."""
+        i = np.asarray(i, np.int64)
+        token = np.zeros(i.shape, np.int64)
         for v, z in zip(self.vectors, self.zeros):
-            bit = v.get(i)
+            bit, ones = v.get(i), v.rank1(i)
             token = token << 1 | bit
-            i = z + v.rank1(i) if bit else i - v.rank1(i)
-        return token
+            i = np.where(bit == 1, z + ones, i - ones)
+        return token if token.ndim else int(token)
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """The token's places among the first i ids, on the lowest level."""
@@ -168,7 +190,7 @@ class Shard:
         for k, (v, z) in enumerate(zip(self.vectors, self.zeros)):
             bit = token >> (bits - 1 - k) & 1
             lo, hi = (z * bit) + v.rank(bit, lo), (z * bit) + v.rank(bit, hi)
-        return lo, hi
+        return int(lo), int(hi)
 
     def rank(self, token: int, i: int) -> int:
         lo, hi = self._range(token, i)
@@ -182,14 +204,23 @@ class Shard:
         lo, hi = self._range(token, self.n)
         if not 0 <= k < hi - lo:
             raise IndexError(k)
-        place, bits = lo + k, len(self.zeros)
+        return int(self._up(token, np.int64(lo + k)))
+
+    def _up(self, token: int, place):
+        """Places among the ids, from places on the lowest level."""
+        bits = len(self.zeros)
         for level in range(bits - 1, -1, -1):
             bit = token >> (bits - 1 - level) & 1
             place = self.vectors[level].select(bit, place - self.zeros[level] * bit)
         return place
 
+    def places(self, token: int) -> np.ndarray:
+        """All places of a token, in order: all of them climb the planes together."""
+        lo, hi = self._range(token, self.n)
+        return self._up(token, np.arange(lo, hi))
+
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        return self.places(token).tolist()
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
@@ -269,8 +300,8 @@ def find_token(shards: DataFrame, token: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload")):
-                places = Shard(payload.as_buffer().to_pybytes()).occurrences(token)
-                yield pa.RecordBatch.from_arrays([pa.array([start + p for p in places], pa.int64())], ["place"])
+                places = Shard(payload.as_buffer().to_pybytes()).places(token)
+                yield pa.RecordBatch.from_arrays([pa.array(start + places, pa.int64())], ["place"])
 
     return with_start(shards).mapInArrow(find, "place long")
 

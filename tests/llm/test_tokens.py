@@ -51,6 +51,32 @@ def test_any_text(path, texts):
     assert ids_of(path, texts) == [library(path, t) for t in texts]
 
 
+FRESH = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "a", " ", "b1", "é", "\n"]), max_size=8).map("".join), max_size=5))
+def test_texts_with_added_tokens(path, texts):
+    assert ids_of(path, texts) == [FRESH[path].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_occurrences_of_a_frequent_token():
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.zipf(1.2, wavelet.SHARD_TOKENS), 50_000).astype(np.uint32)
+    shard = wavelet.Shard(wavelet.to_bytes(ids, [1], [len(ids)]))
+    for token in (1, 2, 50_000, 49_999):
+        assert np.array_equal(shard.places(token), np.flatnonzero(ids == token))
+    at = rng.integers(0, len(ids), 2000)
+    assert np.array_equal(shard.access(at), ids[at])
+    assert sum(d.nbytes for d in shard.directories) < 0.07 * sum(map(len, shard.planes))
+
+
+def test_packing_keeps_null_ids(spark):
+    rows = packing.pack(documents(spark, [(None, "a b", "x", 0), (None, None, "x", 0), (4, "c", "x", 0)]), WORDS, end_id=1, size=64).collect()
+    assert sorted((r["doc_id"] is None, r["length"]) for r in rows) == [(False, 2), (True, 1), (True, 3)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=700))
 def test_wavelet_round_trip(values):
