@@ -7,11 +7,13 @@ Overlapping windows on one diagonal are one longest verbatim match, whose text i
 byte for byte.
 
 Documents are never split over shards, so nothing is shuffled. The test set is sent out in
-blocks of bounded size, each searched in the same shard before the next one is loaded.
+blocks of bounded size that executors keep on their disks. Where there are several, a worker holds
+one at a time, and searches it in the shard's one suffix array before it loads the next.
 
 Defined results: null and empty texts have no words; an item of fewer words than a window, but
 not none, is one window; items with equal item_id count once; a null item_id is written as an
-empty string; rows of the input are judged each for itself; other columns pass unread.
+empty string; rows of the input are judged each for itself, with a null doc_id as well; empty
+tables give no rows, or no hits; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -57,9 +59,9 @@ class TestItems:
         self.windows, self.begin = order, np.searchsorted(which[order], np.arange(len(first) + 1))
         self.all_starts, self.item = start, item
 
-    def items_of(self, patterns: tuple[int, ...]) -> set[str]:
+    def items_of(self, patterns: np.ndarray) -> set[str]:
         """Ids of the items that have one of these patterns."""
-        rows = np.concatenate([self.windows[self.begin[p] : self.begin[p + 1]] for p in patterns])
+        rows = np.concatenate([self.windows[self.begin[p] : self.begin[p + 1]] for p in patterns.tolist()])
         return {self.ids[i] for i in np.unique(self.item[rows]).tolist()}
 
 
@@ -121,20 +123,34 @@ def search(ids: np.ndarray, order: np.ndarray, patterns: np.ndarray, sizes: np.n
     return lo, hi
 
 
-def shard_matches(doc: Words, test: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Shard:
+    """The words of some documents, and their suffix array once a pattern needs it."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        doc = self.words = Words(raw, offsets)
+        # Ids by the order of the hashes, from 1; after each document a 0 that no pattern has.
+        self.names, inverse = np.unique(doc.hash, return_inverse=True)
+        at_word = np.arange(len(doc.hash)) + np.repeat(np.arange(len(doc.count)), doc.count)
+        self.ids = np.zeros(len(doc.hash) + len(doc.count), np.int64)
+        self.ids[at_word] = inverse + 1
+        self.word_of = np.zeros(len(self.ids), np.int64)
+        self.word_of[at_word] = np.arange(len(doc.hash))
+        self._orders: dict[int, np.ndarray] = {}
+
+    def order(self, wide: int) -> np.ndarray:
+        depth = 1 << max(0, math.ceil(math.log2(wide)))
+        if depth not in self._orders:
+            self._orders = {depth: suffix_array(self.ids, depth)}
+        return self._orders[depth]
+
+
+def shard_matches(shard: Shard, test: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of patterns in a shard: first word there, pattern, and the number of the longest
     verbatim match that the occurrence is part of. Sorted by match and place."""
     none = np.zeros(0, np.int64)
+    doc, names = shard.words, shard.names
     if not len(doc.hash) or not len(test.start):
         return none, none, none
-    # Ids by the order of the hashes, from 1; after each document a 0 that no pattern has.
-    names, inverse = np.unique(doc.hash, return_inverse=True)
-    shift = np.repeat(np.arange(len(doc.count)), doc.count)
-    at_word = np.arange(len(doc.hash)) + shift
-    ids = np.zeros(len(doc.hash) + len(doc.count), np.int64)
-    ids[at_word] = inverse + 1
-    word_of = np.zeros(len(ids), np.int64)
-    word_of[at_word] = np.arange(len(doc.hash))
     at = np.searchsorted(names, test.words.hash)
     known = names[np.minimum(at, len(names) - 1)] == test.words.hash
     test_ids = np.where(known, at + 1, -2)
@@ -144,12 +160,12 @@ def shard_matches(doc: Words, test: TestItems) -> tuple[np.ndarray, np.ndarray,
     use = np.flatnonzero((patterns != -2).all(axis=1))
     if not len(use):
         return none, none, none
-    order = suffix_array(ids, 1 << max(0, math.ceil(math.log2(wide))))
-    lo, hi = search(ids, order, patterns[use], test.size[use])
+    order = shard.order(test.window)
+    lo, hi = search(shard.ids, order, patterns[use], test.size[use])
     many = hi - lo
     pattern = np.repeat(use, many)
     slot = np.repeat(lo, many) + np.arange(len(pattern)) - np.repeat(np.cumsum(many) - many, many)
-    place, start, size = word_of[order[slot]], test.start[pattern], test.size[pattern]
+    place, start, size = shard.word_of[order[slot]], test.start[pattern], test.size[pattern]
     # Windows that follow each other in the document and in the test set are one match.
     by = np.lexsort((place, place - start))
     place, start, size, pattern = place[by], start[by], size[by], pattern[by]
@@ -162,32 +178,43 @@ def shard_matches(doc: Words, test: TestItems) -> tuple[np.ndarray, np.ndarray,
     return place[keep], pattern[keep], np.repeat(np.arange(len(head)), run)[keep]
 
 
+def each(tests: list) -> Iterator[TestItems]:
+    """The blocks of the test set; of several, which stay on disk, one is in memory at a time."""
+    for test in tests:
+        if isinstance(test, TestItems):
+            yield test
+        elif len(tests) == 1:
+            yield test.value
+        else:
+            yield test.load_from_path(test._path)
+
+
 def judge(raw: np.ndarray, offsets: np.ndarray, tests: list) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
     """Words, hit words, and (items found, digest of their ids) of each text."""
     n = len(offsets) - 1
-    doc = Words(raw, offsets)
+    shard = Shard(raw, offsets)
+    doc = shard.words
     cover = np.zeros(len(doc.hash) + 1, np.int64)
-    found: list[dict[int, tuple[int, ...]]] = []
-    for test in tests:
-        test = test.value if hasattr(test, "value") else test
-        place, pattern, _ = shard_matches(doc, test)
+    found: dict[int, list[frozenset[str]]] = {}
+    for test in each(tests):
+        place, pattern, _ = shard_matches(shard, test)
         np.add.at(cover, place, 1)
         np.add.at(cover, place + test.size[pattern], -1)
         which = np.searchsorted(doc.cuts, place, side="right") - 1
         pairs = np.unique(np.column_stack([which, pattern]), axis=0)
         docs, begin = np.unique(pairs[:, 0], return_index=True)
-        found.append({d: tuple(p.tolist()) for d, p in zip(docs.tolist(), np.split(pairs[:, 1], begin[1:]))})
+        known: dict[bytes, frozenset[str]] = {}  # documents with the same patterns have the same items
+        for d, patterns in zip(docs.tolist(), np.split(pairs[:, 1], begin[1:])):
+            if (key := patterns.tobytes()) not in known:
+                known[key] = frozenset(test.items_of(patterns))
+            found.setdefault(d, []).append(known[key])
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-    # Documents with the same patterns have the same items.
-    digests: dict[tuple, tuple[int, str]] = {}
+    digests: dict[frozenset[frozenset[str]], tuple[int, str]] = {}
 
     def digest(d: int) -> tuple[int, str]:
-        key = tuple(f.get(d, ()) for f in found)
+        key = frozenset(found.get(d, ()))
         if key not in digests:
-            items: set[str] = set()
-            for test, patterns in zip(tests, key):
-                if patterns:
-                    items |= (test.value if hasattr(test, "value") else test).items_of(patterns)
+            items = set().union(*key)
             digests[key] = len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         return digests[key]
 
@@ -197,10 +224,10 @@ def judge(raw: np.ndarray, offsets: np.ndarray, tests: list) -> tuple[np.ndarray
 def longest(raw: np.ndarray, offsets: np.ndarray, tests: list) -> Iterator[tuple[int, int, str, int, int]]:
     """(document, first word there, item, first word there, words) of the longest matches with
     each item."""
-    doc = Words(raw, offsets)
-    for test in tests:
-        test = test.value if hasattr(test, "value") else test
-        place, pattern, _ = shard_matches(doc, test)
+    shard = Shard(raw, offsets)
+    doc = shard.words
+    for test in each(tests):
+        place, pattern, _ = shard_matches(shard, test)
         if not len(place):
             continue
         many = test.begin[pattern + 1] - test.begin[pattern]

@@ -77,3 +77,24 @@ def test_suffix_array_order(values):
     assert sorted(order.tolist()) == list(range(len(values)))
     keys = [values[i : i + 16] for i in order]
     assert keys == sorted(keys)
+
+
+def test_rows_without_ids_and_repeats(spark):
+    docs = spark.createDataFrame([(None, "rare two", "n", 1), (1, "rare two", "n", 1), (1, "rare two", "n", 1), (2, None, "n", 1)], "doc_id long, text string, n_words string, hit int")
+    got = sorted(((r["doc_id"], r["n_hit"]) for r in decontam.report(docs, items_frame(spark, [(3, "rare two")])).collect()), key=str)
+    assert got == [(1, 2), (1, 2), (2, 0), (None, 2)]
+
+
+def test_one_block_at_a_time(monkeypatch):
+    class Sent:
+        loads = 0
+        _path = "p"
+        value = property(lambda self: (_ for _ in ()).throw(AssertionError("a block of several isn't kept")))
+
+        def load_from_path(self, path):
+            Sent.loads += 1
+            return decontam.TestItems([(Sent.loads, "a b c")], 3)
+
+    raw, offsets = decontam.text_buffers(decontam.pa.array(["x a b c y", "a b"]))
+    words, hit, items = decontam.judge(raw, offsets, [Sent(), Sent(), Sent()])
+    assert Sent.loads == 3 and hit.tolist() == [3, 0] and [k for k, _ in items] == [3, 0]
