@@ -33,6 +33,8 @@ from quillon.llm.components import components, local_forest
 
 #: Vectors in a tile, those of a product at once, and pivots at most.
 TILE, PART, PIVOTS = 4096, 1024, 2048
+#: Bytes of tiles' centres that are sent out at once.
+CENTRES = 32 << 20
 #: Bound on rounding in double precision, far above what 64 or 4096 products can add up.
 SLACK = 1e-9
 
@@ -60,10 +62,11 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     return q, scale, error
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) with product >= threshold; i < j if both are one tile."""
+def part_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) with product >= threshold, those of PART rows on either side at once; i < j if
+    both are one tile."""
     if not len(x) or not len(y):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     q, s, e = quantise(x)
     r, t, f = quantise(y)
     # Sums of int8 products are exact in float32 below 2**24, which 1040 components can't reach.
@@ -72,11 +75,10 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
     # Quantised vectors are as long as the vector and its error together at most.
     worst = (1 + e.max()) * f.max() + e.max() * (1 + 2 * f.max())
     least = kind((threshold - worst - SLACK) / (s * t)) - kind(1)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(x), PART):
         for b in range(a - a % PART if same else 0, len(y), PART):
             product = q[a : a + PART] @ r[b : b + PART].T
-            i, j = np.divmod(np.flatnonzero(product.reshape(-1) >= least), product.shape[1])
+            i, j = np.divmod(np.flatnonzero(product.reshape(-1) >= least).astype(np.int32), np.int32(product.shape[1]))
             exact = product[i, j].astype(np.float64) * (s * t)
             i, j = i + a, j + b
             near = exact + (1 + e[i]) * f[j] + e[i] * (1 + 2 * f[j]) >= threshold - SLACK
@@ -87,8 +89,14 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
             for c in range(0, len(i), 1 << 16):
                 d = slice(c, c + (1 << 16))
                 keep[d] = np.einsum("ij,ij->i", x[i[d]], y[j[d]]) >= threshold
-            found.append((i[keep], j[keep]))
-    return tuple(np.concatenate(z) for z in zip(*found))
+            if keep.any():
+                yield i[keep], j[keep]
+
+
+def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """part_links() of whole tiles, for tiles with few links."""
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(z) for z in zip((none, none), *part_links(x, y, threshold, same)))
 
 
 def vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -173,13 +181,13 @@ def pairs_of_tiles(made: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a <= b: pairs of tiles that may hold a link.
 
     Tile summaries, not vectors, meet here: each tile is tested against all tiles' centres and
-    radii, which are read in blocks of bounded size.
+    radii, which are sent out in blocks of bounded size, one after the other.
     """
     angle = float(np.arccos(threshold)) + 1e-7
     summary = made.select("tile", "centre", "radius")
     spark = made.sparkSession
-    rows = made.count()
-    blocks = max(1, -(-rows // 50_000))
+    size = made.agg(F.count("*").alias("n"), F.max(F.octet_length("centre")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] * ((size["bytes"] or 0) + 64) // CENTRES))
     out = None
     for k in range(blocks):
         part = summary.filter(F.pmod(F.xxhash64("tile"), F.lit(blocks)) == k).collect()
@@ -197,7 +205,8 @@ def pairs_of_tiles(made: DataFrame, threshold: float) -> DataFrame:
                     others = [names[j] for j in np.flatnonzero(apart <= angle) if names[j] >= name]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(others), pa.string()), pa.array(others, pa.string())], ["a", "b"])
 
-        found = summary.mapInArrow(run, "a string, b string")
+        found = written(summary.mapInArrow(run, "a string, b string"))
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "a string, b string")
 
@@ -218,11 +227,17 @@ def compare(pairs: DataFrame, made: DataFrame, threshold: float) -> DataFrame:
                 ids = [np.frombuffer(row[f"ids_{c}"], np.int64) for c in "ab"]
                 units = [np.frombuffer(row[f"units_{c}"], np.float64).reshape(len(i), -1) for c, i in zip("ab", ids)]
                 copies = [np.frombuffer(row[f"copies_{c}"], np.int64) for c in "ab"]
-                i, j = tile_links(*units, threshold, same)
-                counts = [np.bincount(i, copies[1][j], len(ids[0])).astype(np.int64), np.bincount(j, copies[0][i], len(ids[1])).astype(np.int64)]
+                counts = [np.zeros(len(i), np.int64) for i in ids]
+                forest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for i, j in part_links(*units, threshold, same):
+                    # Only sums and a forest of the links so far are held.
+                    counts[0] += np.bincount(i, copies[1][j], len(ids[0])).astype(np.int64)
+                    counts[1] += np.bincount(j, copies[0][i], len(ids[1])).astype(np.int64)
+                    a, b = local_forest(ids[0][i], ids[1][j])
+                    forest = local_forest(np.append(forest[0], a), np.append(forest[1], b))
                 for own, n in zip(ids, counts):
                     yield out(0, own[n > 0], n[n > 0])
-                yield out(1, *local_forest(ids[0][i], ids[1][j]))
+                yield out(1, *forest)
 
     left, right = (made.select(F.col("tile").alias(c), F.col("ids").alias(f"ids_{c}"), F.col("units").alias(f"units_{c}"), F.col("copies").alias(f"copies_{c}")) for c in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{n}_{c}" for c in "ab" for n in ("ids", "units", "copies")))

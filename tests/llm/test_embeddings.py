@@ -57,6 +57,14 @@ def test_hot_vector_and_nulls(spark):
     assert embeddings.near_duplicates(frame(spark, []), 0.95).collect() == []
 
 
+def test_dense_tiles_hold_no_more_than_a_part_of_their_links():
+    rng = np.random.default_rng(2)
+    x = 1 + rng.normal(size=(2 * embeddings.PART + 5, 16)) / 1000
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    sizes = [len(i) for i, _ in embeddings.part_links(x, x[::-1].copy(), 0.95, False)]
+    assert sum(sizes) == len(x) ** 2 and max(sizes) <= embeddings.PART**2
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10_000), st.integers(2, 40), st.floats(0.1, 0.999))
 def test_tile_links_lose_nothing(seed, width, threshold):
