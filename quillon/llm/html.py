@@ -7,10 +7,14 @@ its children's densities holds the main text. The threshold is the least density
 from the body to it; the subtree grows to its parent as long as neighbours reach the threshold,
 and to the article element that it lies in. Parts that the markup itself names as no article
 text (menus, headers, footers, asides, forms, scripts, adverts, notices, comments) don't enter
-the counts, nor do blocks of links inside the article its text.
+the counts, nor do lists of links inside the article its text. Names that an article's own
+sections may have as well (discussion, responses) count only where a form or a comment's parts
+stand below. All of it takes time in proportion to the page.
 
 Defined results: null and empty pages have no text; a page without tags is one block; text
-outside of any element counts as the body's; an element left open ends where its parent ends.
+outside of any element counts as the body's; an element left open ends where its parent ends; a
+tag that the page's end cuts off has no text; elements nested deeper than DEEPEST are siblings;
+repeated rows are extracted alike; an empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -53,7 +57,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: may be the name of what is around it, so they count only while most text is elsewhere.
 NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsors sponsored promo promos promoted promotion promotions outbrain taboola "
-    "cookie cookies consent gdpr comment comments commentlist commenting disqus respond response responses reply replies discussion guestbook "
+    "cookie cookies consent gdpr comment comments commentlist commenting disqus respond reply replies guestbook "
     "newsletter popup modal overlay nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager "
     "sidebar sidebars aside footer masthead topbar toolbar share sharing sharebar hidden visuallyhidden".split()
 )
@@ -62,22 +66,30 @@ APART_NAMES = NEVER_NAMES | frozenset(
     "side rail widget widgets foot copyright social follow related recommended recommendations recommendation trending popular teaser teasers "
     "search form forms skip thread feedback reviews header".split()
 )
+#: Words that name reader comments or a section of the article, and what tells the former.
+TALK_NAMES = frozenset("discussion discussions response responses".split())
+TALK_SIGNS = frozenset("comment comments commenter reply replies avatar user username vcard respond".split())
 #: Words that make a named header the article's own.
 OWN_NAMES = frozenset("article entry post story content".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: A quote counts only where a value begins, and lasts to the next one or to the page's end.
+VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+)"
+TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{VALUE}?+)?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'>][^\s>]*+))?+)?+")
+#: Levels of elements, as browsers have them.
+DEEPEST = 512
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
     """skip: no part of any article. named: only its class or id says so, 2 if by a name that
-    may also be around an article."""
+    may also be around an article, 3 if by one of a section of the article or of comments."""
 
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "name", "named", "parent", "skip", "sum", "tags")
+    __slots__ = ("chars", "children", "density", "depth", "link_chars", "link_tags", "name", "named", "parent", "skip", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, skip: bool = False, named: int = 0):
         self.name, self.parent, self.skip, self.named = name, parent, skip, named
+        self.depth = 0 if parent is None else parent.depth + 1
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -101,8 +113,15 @@ def apart(name: str, attributes: str, parent: Node) -> tuple[bool, int]:
                 words.discard("header")
             if words & NEVER_NAMES:
                 return True, 1
-            named = named or 2 * bool(words & APART_NAMES)
-    return named > 0, named
+            named = named or 2 * bool(words & APART_NAMES) or 3 * bool(words & TALK_NAMES)
+    return named in (1, 2), named
+
+
+def is_sign(name: str, attributes: str) -> bool:
+    """A form, or a part of a reader's comment."""
+    if name in ("form", "textarea", "input"):
+        return True
+    return any(key.lower() in ("class", "id") and not TALK_SIGNS.isdisjoint(w.lower() for w in NAME_PART.findall("".join(values))) for key, *values in ATTRIBUTE.findall(attributes))
 
 
 def parse(page: str) -> Node:
@@ -110,6 +129,7 @@ def parse(page: str) -> Node:
     root = Node("#root", None)
     at, open_, end = 0, root, len(page)
     candidates: list[Node] = []  # left out by a name that may be around the article
+    talks: dict[int, Node] = {}  # sections by a name of TALK_NAMES that no sign of comments is in
 
     def close(to: Node) -> Node:
         return to.parent or root
@@ -161,10 +181,21 @@ def parse(page: str) -> Node:
         if name == "body":  # what came before belongs to the head
             while open_.name in ("head", "p"):
                 open_ = close(open_)
-        node = Node(name, open_, *apart(name, m[3] or "", open_))
+        while open_.depth >= DEEPEST:
+            open_ = close(open_)
+        attributes = m[3] or ""
+        if talks and is_sign(name, attributes):
+            up: Node | None = open_
+            while up is not None:
+                if talks.pop(id(up), None) is not None:
+                    up.skip = True
+                up = up.parent
+        node = Node(name, open_, *apart(name, attributes, open_))
         open_.children.append(node)
         if node.named == 2:
             candidates.append(node)
+        if node.named == 3:
+            talks[id(node)] = node
         if name in ("article", "main") and not node.skip:
             # A wrapper around the article isn't left out for its name ("with-sidebar").
             above = open_
@@ -183,23 +214,32 @@ def parse(page: str) -> Node:
                 at = page.find(">", stop.start()) + 1 or end
             continue
         open_ = node
-    for node in candidates:
-        if node.skip and 2 * text_of(node) > text_of(root) - text_of(node, links=True):
-            node.skip = False
+    if any(node.skip for node in candidates):
+        sizes = texts_of(root)
+        for node in candidates:
+            chars, links = sizes.get(id(node), (0, 0))
+            if node.skip and 2 * chars > sizes[id(root)][0] - links:
+                node.skip = False
     return root
 
 
-def text_of(node: Node, links: bool = False) -> int:
-    """Characters below a node that may be an article's, or those of its links."""
-    total, todo = 0, [(node, node.name == "a")]
+def texts_of(root: Node) -> dict[int, tuple[int, int]]:
+    """For each node that may be an article's, by its id: characters below it, and those of links."""
+    order, todo = [], [root]
     while todo:
-        at, inside = todo.pop()
-        for c in at.children:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and (not c.skip or c.named == 2)]
+    out: dict[int, tuple[int, int]] = {}
+    for node in reversed(order):
+        chars = links = 0
+        for c in node.children:
             if isinstance(c, str):
-                total += len(c.strip()) * (inside or not links)
-            elif not c.skip or c.named == 2:
-                todo.append((c, inside or c.name == "a"))
-    return total
+                chars += len(c.strip())
+            elif id(c) in out:
+                chars, links = chars + out[id(c)][0], links + out[id(c)][1]
+        out[id(node)] = chars, chars if node.name == "a" else links
+    return out
 
 
 def decoded(text: str) -> str:
@@ -278,7 +318,12 @@ def dense(child: Node | str, threshold: float, best: Node) -> bool:
 
 
 def mostly_links(node: Node) -> bool:
-    return node.name in ("ul", "ol", "div", "p", "section", "table") and node.link_tags > 1 and node.link_chars > 0.8 * node.chars
+    return node.name in ("ul", "ol", "div", "section", "table") and node.link_tags > 1 and node.link_chars > 0.8 * node.chars and not has_running_text(node)
+
+
+def has_running_text(node: Node) -> bool:
+    """A paragraph directly below: links in it are an article's own words."""
+    return any(isinstance(c, Node) and c.name in ("p", "blockquote") and c.chars for c in node.children)
 
 
 def above(node: Node) -> list[Node]:

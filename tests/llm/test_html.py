@@ -55,3 +55,54 @@ def test_main_text(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "plain <text> only here", 22)] * 2 + [(2, None, "", 0), (None, "v", "é", 1)], key=str)
     assert main_text(pages.limit(0)).collect() == []
+
+
+def test_named_blocks_and_odd_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert extract("<div class='related'>x y z</div>" * 100_000 + f"<div id=c><p>{PARAGRAPH}</p></div>").endswith(PARAGRAPH)
+    extract("<b>" * 20_000 + "</i>" * 20_000)
+    extract("<p class=\"x>hello " * 20_000)
+    assert time.perf_counter() - began < 30
+
+
+MARKUP = {
+    "a quote left open lasts to the page's end": ("<p>one</p><p class=\"x>two", "one"),
+    "quotes inside a value or a name are no quotes": ("<p title=it's>one</p><p \"x>it's</p>", "one\nit's"),
+    "values with a greater sign": ("<p title='a > b'>one</p>", "one"),
+    "comments": ("<p>a<!-->b<!-- x --!>c</ d>e</>f</p>", "abcef"),
+}
+
+
+@pytest.mark.parametrize("name", MARKUP)
+def test_markup_as_the_standard_reads_it(name):
+    page, text = MARKUP[name]
+    assert extract(page) == text
+
+
+def test_links_in_running_text_stay():
+    line = "See <a href=1>alpha beta</a>, <a href=2>gamma delta</a>, <a href=3>epsilon zeta</a>"
+    plain = "See alpha beta, gamma delta, epsilon zeta"
+    assert extract(f"<article><p>{PARAGRAPH}</p><p>{line}</p><div><p>{line}</p></div><ul><li><a href=1>alpha</a><li><a href=2>beta</a></ul></article>") == "\n".join([PARAGRAPH, plain, plain])
+
+
+def test_sections_named_like_comments():
+    section = f"<section class=discussion><h2>Discussion</h2><p>{PARAGRAPH}</p></section>"
+    talk = "<section class=discussion><div class=comment-body><p>I agree.</p></div></section><div id=responses><form><p>Say something</p></form></div>"
+    assert extract(f"<article><p>{PARAGRAPH}</p>{section}{talk}</article>") == "\n".join([PARAGRAPH, "Discussion", PARAGRAPH])
+
+
+def test_pages_without_semantic_elements():
+    """An independent check: the article's lines are known, and wrapped in menus and adverts."""
+    import random
+
+    rng = random.Random(1)
+    sentence = lambda: " ".join(rng.choice("river stone light under walking bread sudden evening colour thirty".split()) for _ in range(rng.randrange(12, 60))).capitalize() + "."
+    for k in range(60):
+        lines = [sentence() for _ in range(rng.randrange(3, 12))]
+        menu = "<ul>" + "".join(f"<li><a href=/{i}>{rng.choice(['Home', 'News', 'Contact us', 'Archive'])}</a></li>" for i in range(rng.randrange(3, 15))) + "</ul>"
+        tag = rng.choice(["p", "div"])
+        body = "".join(f"<{tag}>{x}</{tag}>" for x in lines)
+        page = f"<html><head><title>t</title></head><body><div class=top>{menu}</div><div><div class=ad>Buy now!</div><div id=w{k}>{body}</div></div><div class=sidebar>{menu}</div><div class=footer>{sentence()}</div></body></html>"
+        assert extract(page) == "\n".join(lines), page
