@@ -6,10 +6,11 @@ start as the path's segments with their variable parts (numbers, hashes, dates)
 Then, depth by depth, each node's rare children become one wildcard where there are many, and
 a child merges with the largest one of its kind where neither what follows below nor its labels
 tell them apart (two chi-squared tests, depth and width). A merged branch bears the larger one's
-name. A template is rejected if the smoothed share of blocked
-among its labelled URLs is high enough; URLs without a label smooth it towards even, so a
-template of which little is known is allowed. Labels are the rules' verdicts, and those of a
-further column if one is named.
+name. A template is rejected if the smoothed share of blocked among its labelled URLs is high
+enough; URLs without a label smooth it towards even, a tenth of an even one each, so a template
+of which little is known is allowed. Labels are the rules' verdicts, and those of a further
+column if one is named. Rules whose paths end inside a segment (`shop.net/item/9`) label a part
+of a template's URLs, and the template then judges the others.
 
 All of it is joins and aggregations over counts by (host, template); no step holds a host's
 tree in one place.
@@ -29,14 +30,14 @@ from pyspark.sql import functions as F
 from quillon.llm.common import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Segments that a template tells apart; what lies deeper is one wildcard.
-DEPTH = 5
+#: Segments that a template tells apart, one round each; what lies deeper is one wildcard.
+DEPTH = 16
 #: Children of a node beyond which the rare ones are one wildcard, and how rare those are.
 CHILDREN, RARE = 12, 0.05
 #: Chi-squared of one and of three degrees of freedom at 5 %: below, two branches are alike.
 ALIKE_1, ALIKE_3 = 3.84, 7.81
 #: Labelled purity that rejects; evidence that smoothing adds, and its part for an unlabelled URL.
-REJECT, EVEN, UNLABELLED = 0.75, 1.0, 0.5
+REJECT, EVEN, UNLABELLED = 0.75, 3.0, 0.1
 #: Rules that one expression may hold.
 RULES = 1000
 
@@ -120,7 +121,7 @@ def generalised(counts: DataFrame, depth: int) -> DataFrame:
     rows = counts.withColumn("node", node).withColumn("child", F.get("segs", F.lit(depth - 1)))
     sums = [F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum("allow").alias("allow")]
     kinds = [F.sum(F.when(kind == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in KINDS]
-    shape = [(F.approx_count_distinct(after) > CHILDREN).alias("wide"), (F.sum(F.size("segs") * F.col("n")) / F.sum("n")).alias("deep")]
+    shape = [(F.count_distinct(after) > CHILDREN).alias("wide"), (F.sum(F.size("segs") * F.col("n")) / F.sum("n")).alias("deep")]
     children = rows.filter("child is not null").groupBy("host", "node", "child").agg(*sums, *kinds, *shape)
     labelled = F.col("block") + F.col("allow")
     told = F.when(labelled < LABELLED, "unknown").when(F.col("block") >= REJECT * labelled, "block").when(F.col("allow") >= REJECT * labelled, "allow").otherwise("mixed")
@@ -135,7 +136,8 @@ def generalised(counts: DataFrame, depth: int) -> DataFrame:
     below = sum((_pair(F.col(k), top(k), F.col("n").cast("double"), top("n")) for k in KINDS), F.lit(0.0))
     labels = _chi2(F.col("block").cast("double"), F.col("allow").cast("double"), top("block"), top("allow"))
     literal = ~F.col("child").startswith("{")
-    rare = (F.col("many") > CHILDREN) & (F.col("n") < RARE * F.col("total"))
+    # A rare child whose label class is told keeps its name.
+    rare = (F.col("many") > CHILDREN) & (F.col("n") < RARE * F.col("total")) & (F.col("told") == "unknown")
     alike = (below < ALIKE_3) & (labels < ALIKE_1) & (F.col("wide") == F.col("top.wide")) & (F.abs(F.col("deep") - F.col("top.deep")) < 0.5)
     merged = F.when(literal & rare, "*").when(literal & alike, F.col("top.child")).otherwise(F.col("child"))
     names = both.select("host", "node", "child", merged.alias("merged")).filter("merged <> child")

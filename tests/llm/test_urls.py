@@ -57,4 +57,28 @@ def test_alike_branches_merge(spark):
 
 def test_segments(spark):
     row = spark.createDataFrame([("/a/2020-01-02//7x/0123456789abcdef0123/b/c/d",)], "p string").select(urls.segments(F.col("p")).alias("s")).first()
-    assert row["s"] == ["a", "{date}", "{n}x", "{hash}", "b", "{more}"]
+    assert row["s"] == ["a", "{date}", "{n}x", "{hash}", "b", "c", "d"]
+    deep = spark.createDataFrame([("/x" * 40,)], "p string").select(urls.segments(F.col("p")).alias("s")).first()
+    assert deep["s"] == ["x"] * urls.DEPTH + ["{more}"]
+
+
+def test_templates_reject_what_no_rule_names(spark):
+    """Rules that end inside a segment label a part of a template's URLs: the template judges the
+    rest, which `the rule's verdict, else allow` would let through."""
+    rules = [urls.rule("block", f"shop.net/item/{d}") for d in range(1, 6)] + [urls.rule("allow", "shop.net/help/1"), urls.rule("block", "shop.net/x/1")]
+    values = [f"http://www.shop.net/item/{i}.html?ref=a" for i in range(100, 1000, 7)] + [f"http://shop.net/help/{i}" for i in range(10, 60)] + [f"http://shop.net/x/{i}" for i in range(1, 300)]
+    rows = spark.createDataFrame(list(enumerate(values)), "page_id long, url string")
+    got = urls.judge(rows, rules).collect()
+    plain = {r["page_id"]: "allow" if r["rule"] is None else "block" if "item" in r["rule"] or "/x/" in r["rule"] else "allow" for r in got}
+    changed = [r for r in got if r["verdict"] != plain[r["page_id"]]]
+    assert {r["template"] for r in changed if r["path"].startswith("/item")} == {"item/{n}.html"}
+    assert all(r["verdict"] == "block" for r in got if r["path"].startswith("/item"))
+    assert all(r["verdict"] == "allow" for r in got if r["path"].startswith("/help"))
+
+
+def test_rare_blocked_branches_keep_their_class(spark):
+    names = [f"n{a}{b}" for a in "abcdef" for b in "ghijkl"]
+    values = [(f"http://h.com/{n}/page", "allow") for n in names for _ in range(4)] + [("http://h.com/bad/page", "block")] * 6 + [("http://h.com/bad/page", None)]
+    frame = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(values)], "page_id long, url string, label string")
+    got = urls.judge(frame, [], "label").collect()
+    assert {r["verdict"] for r in got if r["path"] == "/bad/page"} == {"block"} and {r["verdict"] for r in got if r["path"] != "/bad/page"} == {"allow"}
