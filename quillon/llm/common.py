@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -23,16 +24,17 @@ SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 def shared_dir(spark: SparkSession) -> str:
     """A new, empty path in the cluster's shared folder (spark.checkpoint.dir).
 
-    Only where that setting is missing (tests on one machine) a local folder is set.
+    Where that setting is missing, a session on one machine (tests) gets a local folder; on a
+    cluster it is an error, as executors wouldn't see each other's files.
     """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillon_scratch", None)
     if not base:
-        base = getattr(sc, "_quillon_scratch", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="quillon-")
-            sc._quillon_scratch = base
-            sc.setCheckpointDir(base)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quillon-")
+        sc._quillon_scratch = base
+        sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
     sc._quillon_paths = [*getattr(sc, "_quillon_paths", []), path]
     return path
@@ -157,13 +159,16 @@ def remainder(column: str, mod: int):
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, mod: int, held_out: int, limit: int) -> DataFrame:
     """doc_id, text, label of at most `limit` labelled rows to learn from, those with the least
-    hash of their id. Rows whose remainder is `held_out` aren't among them."""
+    hash of their id. Rows whose remainder is `held_out` aren't among them. An id counts once: with
+    its greatest label, and of several texts the one with the least hash."""
     from pyspark.sql import functions as F
 
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (remainder("doc_id", mod) != held_out))
-    chosen = rows.select("doc_id", F.col(column).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    # The limit bounds what is broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    # The limit bounds what is broadcast; a much repeated id is one row of each task before it moves.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.struct(F.xxhash64("text").alias("h"), "text")
+    return found.groupBy("doc_id").agg(F.min(text).alias("_t"), F.max("label").alias("label")).select("doc_id", F.col("_t.text").alias("text"), "label")
 
 
 def column_name(wanted: str, taken: list[str]) -> str:

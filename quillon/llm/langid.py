@@ -7,7 +7,8 @@ languages that it lacks form families by the nearness of their mean vectors.
 
 Defined results: a null text, or one without a letter, is "und" with score 0; null and empty
 languages aren't learned; without a learned language every text is "und"; a null doc_id is
-predicted and never held out; other columns pass unread.
+predicted and never held out; repeated rows are predicted alike and learned once; an empty table
+gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import column_name, must_be_new, release, remainder, text_buffers
@@ -28,8 +29,8 @@ from quillon.llm.linear import linear_svm, sigmoid
 UNKNOWN = "und"
 #: Hashed dimensions.
 SIZE = 4096
-#: Rows to learn from, about, over all languages together.
-SAMPLE = 3000
+#: Rows to learn from, at most, over all languages together, and languages to learn.
+SAMPLE, LANGUAGES = 3000, 200
 #: Bytes and texts whose features are counted at once.
 PART_BYTES, PART_TEXTS = 1 << 20, 1024
 
@@ -174,14 +175,23 @@ def train(x: np.ndarray, y: np.ndarray) -> LanguageModel:
 
 
 def fit(docs: DataFrame, mod: int = 3, held_out: int = 1, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from about `sample` rows, as many of each language as there are or may be: those
-    whose hash lies under a bound that follows from the language's count."""
+    """Learn from `sample` rows at most, as many of each language as there are or may be: different
+    (doc_id, text) with the least hash. Of more than LANGUAGES languages the commonest are learned."""
     rows = docs.select("doc_id", "text", "lang").filter((F.col("lang") != "") & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", mod) != held_out))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = sample / max(len(counts), 1)
-    span = 1 << 20
-    bound = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(span * min(1.0, each / n))))]) if counts else F.lit(None)
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < bound[F.col("lang")]) if counts else rows.limit(0)
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    # Different rows, not rows: a language may be one document many times over.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: max(r["n"], 1) for r in sizes.collect()}
+    if not counts:
+        return LanguageModel()
+    each = max(1, sample // len(counts))
+    # Under this bound lie three times as many as are taken, so that an estimate's error takes none.
+    span = 1 << 30
+    bound = F.create_map(*[v for lang, n in counts.items() for v in (F.lit(lang), F.lit(int(span * min(1.0, 3 * (each + 10) / n))))])
+    near = rows.filter(F.pmod("_h", F.lit(span)) < bound[F.col("lang")])
+    once = near.groupBy("lang", "_h").agg(F.min(F.struct("doc_id", "text")).alias("_r"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(span)), "_h"))
+    chosen = once.withColumn("_n", place).filter(F.col("_n") <= each).select("lang", "_r.doc_id", "_r.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,8 @@ and those are compiled into one Spark column expression over the statistics.
 
 Defined results: null and empty texts have statistics 0 and get the score that the rules give
 for those; without labels of both classes every score is the labels' smoothed mean (0.5 if there
-are none); a null doc_id is scored and never held out; other columns pass unread.
+are none); a null doc_id is scored and never held out; repeated rows are scored alike and learned
+once; an empty table gives no rows; other columns pass unread.
 """
 
 from __future__ import annotations

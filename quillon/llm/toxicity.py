@@ -15,9 +15,13 @@ Each hit gets a context score: hits inside quotation marks, or close to a word o
 count as quotation, others as abuse; hits that stand close together strengthen each other. A
 logistic regression over these sums gives the document's score.
 
+Edits are of characters: a missing accent is one. The lexicon holds ENTRIES words at most, those
+that explain most toxic documents; the model's size is bounded, whatever the corpus.
+
 Defined results: null and empty texts have no hits and get the score of those; without labels
 of both classes every score is the labels' smoothed mean; a null doc_id is scored and never
-held out; other columns pass unread.
+held out; repeated rows are scored alike and learned once; an empty table gives no rows; other
+columns pass unread.
 """
 
 from __future__ import annotations
@@ -67,6 +71,23 @@ def fold(raw: np.ndarray) -> np.ndarray:
     return text
 
 
+def code_points(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words text[start:end] of UTF-8 as (code points in a row, each word's start, its end)."""
+    size = ends - starts
+    cut = np.cumsum(size) - size
+    raw = text[np.repeat(starts - cut, size) + np.arange(int(size.sum()))].astype(np.int64)
+    lead = (raw & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    points, raw = raw[at], np.append(raw, [0, 0, 0])
+    more = (points >= 0xC0).astype(np.int64) + (points >= 0xE0) + (points >= 0xF0)
+    points = np.where(more > 0, points & (0x3F >> more), points)
+    for k in (1, 2, 3):
+        use = more >= k
+        points[use] = points[use] << 6 | (raw[at[use] + k] & 0x3F)
+    before = np.concatenate([[0], np.cumsum(lead)])
+    return points, before[cut], before[cut + size]
+
+
 class Automaton:
     """Deterministic product of a trie and Levenshtein automata, built as it is used.
 
@@ -85,15 +106,14 @@ class Automaton:
             # Fuzzy stems would match too much by chance, as they accept any ending.
             budget = 0 if stem and len(term) < 7 or term in exact else edits_allowed(term)
             node = roots.setdefault(budget, self._node()) if budget not in roots else roots[budget]
-            for c in term.encode():
+            for c in map(ord, term):
                 if c not in self.child[node]:
                     self.child[node][c] = self._node()
                 node = self.child[node][c]
             word, stemmed = self.ends[node]
             self.ends[node] = (word or not stem, stemmed or stem)
         letters = sorted({c for x in self.child for c in x})
-        self.letter = np.zeros(256, np.int64)  # 0: occurs in no term
-        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.letters = np.array(letters, np.int64)  # code points; letter 0 occurs in no term
         self.alphabet = [-1, *letters]
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
@@ -156,11 +176,14 @@ class Automaton:
 
     def run(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Grade of each word: EXACT, STEMMED, FUZZY, or 0."""
+        points, starts, ends = code_points(text, starts, ends)
+        place = np.searchsorted(self.letters, points)
+        letters = np.where(np.append(self.letters, -1)[place] == points, place + 1, 0)
         state = np.full(len(starts), self.start)
         alive, at = np.arange(len(starts)), 0
         while len(alive):
             alive = alive[starts[alive] + at < ends[alive]]
-            now, letter = state[alive], self.letter[text[starts[alive] + at]]
+            now, letter = state[alive], letters[starts[alive] + at]
             to = self.table[now, letter]
             if (new := to < 0).any():
                 width = len(self.alphabet)
@@ -329,11 +352,10 @@ def near_misses(sample: DataFrame, lexicon: Lexicon) -> dict[str, int]:
 
 def within(a: str, b: str, most: int) -> bool:
     """At most so many edits turn a into b."""
-    x, y = a.encode(), b.encode()
-    row = list(range(len(y) + 1))
-    for i, c in enumerate(x, 1):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
         below = [i]
-        for j, d in enumerate(y, 1):
+        for j, d in enumerate(b, 1):
             below.append(min(row[j] + 1, below[-1] + 1, row[j - 1] + (c != d)))
         row = below
     return row[-1] <= most
@@ -345,7 +367,7 @@ def with_misspellings(sample: DataFrame, words: list[str], stems: list[str]) ->
     misses = near_misses(sample, draft)
     exact = set()
     for term in (*words, *stems):
-        near = [n for w, n in misses.items() if abs(len(w.encode()) - len(term.encode())) <= 2 and within(w, term, edits_allowed(term)) or term in stems and w.startswith(term[:3])]
+        near = [n for w, n in misses.items() if abs(len(w) - len(term)) <= 2 and within(w, term, edits_allowed(term)) or term in stems and w.startswith(term[:3])]
         if sum(near) > MISSES:
             exact.add(term)
     return Lexicon(draft.words, draft.stems, frozenset(exact), frozenset(misses))
@@ -375,15 +397,16 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
         left = [t for t in left if best not in t]
     # Words that are nearly always toxic and frequent belong to it even if others explain their texts.
     frequent = [e for e in entries if not e[1] and known[e] >= max(20, len(texts) // 50) and not any(e[0].startswith(s) for s, stem in chosen if stem)]
-    words = sorted({t for t, stem in [*chosen, *frequent] if not stem})
-    return words[:ENTRIES], sorted({t for t, stem in chosen if stem})
+    # In the order of what they explain; the bound takes the last.
+    words = list(dict.fromkeys(t for t, stem in [*chosen, *sorted(frequent, key=lambda e: (-known[e], e))] if not stem))
+    return sorted(words[:ENTRIES]), sorted({t for t, stem in chosen if stem})
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, held_out: int = 2, sample: int = SAMPLE) -> ToxicModel:
     rows = written(labelled_rows(docs, labels, "toxic", mod, held_out, sample))
     # Copies of a text are one witness, or their rare words would look toxic.
     single = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
-    once = written(rows.select("doc_id", "text").dropDuplicates(["doc_id"]).join(single.select("doc_id", "label"), "doc_id"))
+    once = written(rows.select("doc_id", "text").join(single.select("doc_id", "label"), "doc_id"))
     lexicon = with_misspellings(once, *learn_lexicon(once))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

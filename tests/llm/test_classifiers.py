@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import langid, quality, toxicity
 from quillon.llm.linear import lasso_logistic, ridge_logistic
@@ -177,6 +178,43 @@ def test_language(spark):
     assert langid.predicted(docs.limit(0), model).collect() == []
 
 
+def test_a_much_repeated_id_is_learned_once(spark):
+    from quillon.llm.common import labelled_rows
+
+    rng = random.Random(7)
+    few = [(i, clean_text(rng, 60) if i % 2 else junk_text(rng)) for i in range(60)]
+    docs = spark.createDataFrame(few, "doc_id long, text string").unionByName(spark.range(100_000).selectExpr("cast(3 as long) as doc_id", "concat('text ', id % 7) as text"))
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(60)] + [(3, 0, 0)] * 5, "doc_id long, quality int, toxic int")
+    rows = labelled_rows(docs, labels, "quality", 3, 1, 30)
+    got = rows.collect()
+    assert len(got) == 30 and len({r["doc_id"] for r in got}) == 30
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows.collect()))
+    assert quality.fit(docs, labels).rules is not None
+    assert quality.scored(docs.limit(0), quality.fit(docs, labels)).collect() == []
+    assert toxicity.scored(docs.limit(0), toxicity.fit(docs, labels)).collect() == []
+
+
+def test_a_language_of_one_document_is_learned(spark):
+    rng = random.Random(4)
+    text = lambda lang: " ".join(rng.choice(LANGUAGES[lang].split()) for _ in range(40))
+    german = text("de")
+    one = next(i for i in range(1, 50) if remainder(i, 3) != 1)
+    rows = spark.createDataFrame([(i, text("en"), "en") for i in range(100, 1100)], "doc_id long, text string, lang string")
+    again = spark.range(100_000).select(F.lit(one).cast("long").alias("doc_id"), F.lit(german).alias("text"), F.lit("de").alias("lang"))
+    model = langid.fit(rows.unionByName(again))
+    assert sorted(sum(model.families, [])) == ["de", "en"]
+    assert {r["lang_pred"] for r in langid.predicted(again.limit(3).drop("lang"), model).collect()} == {"de"}
+
+
+def test_accents_are_one_edit():
+    from quillon.llm.common import text_buffers
+    import pyarrow as pa
+
+    raw, offsets = text_buffers(pa.array(["pendéjo", "pendejo", "péndéjo", "crétin", "cretin", "日本"]))
+    x = toxicity.features(raw, offsets, toxicity.Lexicon(("pendejo", "crétin")))
+    assert x[:, 0].tolist() == [0.7, 1, 0, 1, 0.7, 0]
+
+
 def test_linear_fits():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 6))
