@@ -5,17 +5,27 @@ doubling, and the links are drawn anew between those ends. At least half of the
 still have links go each round, so rounds follow the logarithm of the longest component.
 Links, labels and counts stay distributed; each step starts from a table written to the shared
 folder. The joins have one row a node on one side, so a node with very many links splits.
+
+What is left of the links once they are ONE or fewer, 16 MB, is solved by one task instead of
+more rounds; the result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import written
 
 
+#: Links that one task may solve.
+ONE = 1 << 20
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """At most one link a node that connect what the links (a, b) connect, to each least value."""
     if len(a) == 0:
@@ -62,15 +72,35 @@ def spanning_links(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarr
         label = to[label]
 
 
-def components(links: DataFrame) -> DataFrame:
+def solved(edges: DataFrame) -> DataFrame:
+    """(id, component) of few links, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+        if got:
+            ids, tops = local_forest(*(np.concatenate(x) for x in zip(*got)))
+            roots = np.unique(tops)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, roots)), pa.array(np.append(tops, roots))], ["id", "component"])
+
+    return written(edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long"))
+
+
+def components(links: DataFrame, one: int = ONE) -> DataFrame:
     """(id, component) of every node in links (a, b): the least id that it reaches.
 
     Links with a null end, and those from a node to itself, connect nothing.
     """
     spark = links.sparkSession
-    edges = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(links.filter("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")))
     labels = None
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= one:
+            own = solved(edges)
+            if labels is None:
+                return own
+            later = own.select(F.col("id").alias("component"), F.col("component").alias("up"))
+            return written(labels.join(later, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+        edges = written(edges.distinct()) if labels is None else edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")))
         while True:

@@ -48,7 +48,7 @@ CROWD = 4096
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 17
 #: Recall that similar_groups aims at for a pair of just the least similarity.
-RECALL = 0.92
+RECALL = 0.97
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
@@ -494,32 +494,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, max_bits: int = 2, crowd:
 
 
 class IdFilter:
-    """A Bloom filter of ids, of bounded size: it may let others through, and lets the more
-    through the fuller it is, but never holds one back."""
+    """A Bloom filter of ids, of bounded size: it may let others through, but never holds one back.
 
-    #: Bits at most, and bits for each id where there is room.
-    MOST, EACH, PROBES = 1 << 27, 16, 4
+    As many probes as its load makes best: with 16 bits an id (up to 16 million ids) it lets 1 in
+    1,000 others through, with 4 bits 1 in 7, with 2 bits 2 in 5. Beyond that it lets all through,
+    as a plain join has to move nearly all rows then anyway.
+    """
+
+    #: Bits at most, bits for each id where there is room, and below which it holds nothing back.
+    MOST, EACH, LEAST = 1 << 28, 16, 2
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, probes: int):
+        self.words, self.probes = words, probes
 
     @staticmethod
-    def places(ids: np.ndarray, bits: int) -> np.ndarray:
-        """PROBES places for each id, one column a probe."""
+    def places(ids: np.ndarray, bits: int, probes: int) -> np.ndarray:
+        """Places for each id, one column a probe."""
         h = mixed(ids.astype(np.int64).view(np.uint64), 1)
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return np.stack([(h + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(IdFilter.PROBES)], axis=1)
+        return np.stack([(h + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(probes)], axis=1)
 
     @staticmethod
     def of(ids: DataFrame) -> IdFilter:
         """From a column of ids. Only the filter's words, MOST / 64 of them at most, come to the driver."""
         count = ids.count()
-        bits = min(IdFilter.MOST, 1 << max(10, (IdFilter.EACH * count).bit_length()))
+        bits = min(IdFilter.MOST, 1 << max(10, (IdFilter.EACH * count - 1).bit_length()))
+        if bits < IdFilter.LEAST * count:
+            return IdFilter(np.zeros(0, np.uint64), 0)
+        probes = min(4, max(1, round(math.log(2) * bits / max(count, 1))))
         name = ids.columns[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = np.unique(IdFilter.places(batch.column(name).to_numpy(), bits))
+                at = np.unique(IdFilter.places(batch.column(name).to_numpy(), bits, probes))
                 word, first = np.unique(at >> np.uint64(6), return_index=True)
                 value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
@@ -527,10 +534,12 @@ class IdFilter:
         got = ids.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
         words = np.zeros(bits // 64, np.int64)
         words[got["word"].to_numpy(np.int64)] = got["value"].to_numpy(np.int64)
-        return IdFilter(words.view(np.uint64))
+        return IdFilter(words.view(np.uint64), probes)
 
     def may_hold(self, ids: np.ndarray) -> np.ndarray:
-        at = IdFilter.places(ids, 64 * len(self.words))
+        if not self.probes:
+            return np.ones(len(ids), bool)
+        at = IdFilter.places(ids, 64 * len(self.words), self.probes)
         return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
@@ -671,19 +680,22 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, that are first of their group by doc_id. Rows
-    with a null doc_id stay; of rows that share a doc_id one stays."""
+    """The rows of docs, with all their columns, that are first of their group by doc_id.
+
+    Rows with a null doc_id stay, and repeated rows are one. A doc_id that several texts have names
+    no document: its rows aren't compared with others, and one of each of its texts stays.
+    """
+    again = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    odd = None
+    if not again.isEmpty():
+        own = column_name("_again", docs.columns)
+        among = lambda rows, ids, how: rows.join(ids.select(F.col("doc_id").alias(own)).hint("merge"), F.col("doc_id") == F.col(own), how)
+        once = written(among(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        texts = written(once.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+        docs, odd = without(docs, again).unionByName(among(once, texts, "left_anti")), among(once, texts, "left_semi")
     found = written(similar_groups(docs, shingle, similarity))
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    out = without(docs, gone)
-    if again.isEmpty():
-        return out
-    several = written(again)
-    own = column_name("_several", docs.columns)
-    ids = several.withColumnRenamed("doc_id", own)
-    doubled = out.join(ids, out["doc_id"] == ids[own], "left_semi").dropDuplicates(["doc_id"])
-    return without(out, several).unionByName(doubled)
+    out = without(docs, written(found.filter("doc_id <> component_id").select("doc_id")))
+    return out if odd is None else out.unionByName(odd)
 
 
 def as_hex(column: str):

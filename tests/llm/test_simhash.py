@@ -151,7 +151,7 @@ def test_links_of_short_texts_and_repeats(spark, crowd):
 
 
 def test_one_layout_at_every_size():
-    assert simhash.likely_segments(0.8) == ([(k // 4, 16 * (k % 4), 16) for k in range(8)], 2, 29)
+    assert simhash.likely_segments(0.8) == ([(k // 4, 16 * (k % 4), 16) for k in range(12)], 3, 41)
 
 
 def test_components(spark):
@@ -159,6 +159,8 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
     rows = spark.createDataFrame([*edges, *edges[:9], (None, 5), (7, None), (9, 9)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(rows).collect()}
+    for one in (0, 20):  # rounds of joins to the end, or until few links are left
+        assert {r["id"]: r["component"] for r in components(rows, one).collect()} == got
     nodes = {x for a, b in edges for x in (a, b) if a != b}
     assert got == {i: c for i, c in brute_components(nodes, [e for e in edges if e[0] != e[1]]).items()}
     assert components(rows.limit(0)).collect() == []
@@ -180,3 +182,20 @@ def test_forests():
 def test_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert simhash.keep_one(frame(spark, [])).collect() == []
+
+
+def test_ids_that_name_several_texts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(50)) for _ in range(3)]
+    rows = [(1, texts[0]), (2, texts[0]), (3, texts[1]), (3, texts[1]), (4, texts[1]), (5, texts[2]), (5, texts[0]), (5, texts[2]), (6, texts[2])]
+    kept = sorted((r["doc_id"], texts.index(r["text"])) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert kept == [(1, 0), (3, 1), (5, 0), (5, 2), (6, 2)]  # 5 names no document
+
+
+def test_id_filter(spark, monkeypatch):
+    ids = spark.range(0, 4000, 2)
+    some, others = np.arange(0, 4000, 2), np.arange(1, 40001, 2)
+    for most, passing in ((1 << 28, 0.01), (1 << 13, 0.25), (1 << 10, 1.0)):
+        monkeypatch.setattr(simhash.IdFilter, "MOST", most)
+        made = simhash.IdFilter.of(ids)
+        assert made.may_hold(some).all() and made.may_hold(others).mean() <= passing
