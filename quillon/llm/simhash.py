@@ -516,7 +516,8 @@ class IdFilter:
 
     @staticmethod
     def of(ids: DataFrame) -> IdFilter:
-        """From a column of ids. Only the filter's words, MOST / 64 of them at most, come to the driver."""
+        """From a column of ids, which may repeat, read twice. Only the filter's words, MOST / 64 of
+        them at most, come to the driver."""
         count = ids.count()
         bits = min(IdFilter.MOST, 1 << max(10, (IdFilter.EACH * count - 1).bit_length()))
         if bits < IdFilter.LEAST * count:
@@ -549,8 +550,8 @@ def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     Texts don't move: a filter of the linked ids goes to them, and the sets of those that pass,
     as hashes of 8 bytes a shingle, come to the links.
     """
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(written(ends)))
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(ends))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
