@@ -15,10 +15,19 @@ class Event(StrEnum):
     UPSERT = "upsert"
 
 
-def grouped(events: DataFrame, table: str = "table", op: str = "type", key: str = "id") -> DataFrame:
-    """One row a table and kind of event, with the number of distinct ids and all of them, sorted.
-    For batches of events that a client handles at once; large ones stay rows (see `by_kind`)."""
-    return events.groupBy(table, op).agg(F.sort_array(F.collect_set(key)).alias("ids")).withColumn("n_ids", F.size("ids"))
+#: Events of one kind that make one row, about.
+BATCH = 1000
+
+
+def grouped(events: DataFrame, table: str = "table", op: str = "type", key: str = "id", batch: int = BATCH) -> DataFrame:
+    """The events of a table and kind as batches of about `batch` distinct ids, sorted, and how many
+    they are: one row for few events, and no row that grows with their number."""
+    # One row for each table and kind.
+    counts = events.groupBy(table, op).agg(F.count("*").alias("_all")).withColumnsRenamed({table: "_table", op: "_op"})
+    same = events[table].eqNullSafe(F.col("_table")) & events[op].eqNullSafe(F.col("_op"))
+    part = F.pmod(F.xxhash64(events[key]), F.ceil(F.col("_all") / batch)).alias("part")
+    dealt = events.join(F.broadcast(counts), same).select(events[table], events[op], events[key], part)
+    return dealt.groupBy(table, op, "part").agg(F.sort_array(F.collect_set(key)).alias("ids")).withColumn("n_ids", F.size("ids"))
 
 
 def by_kind(events: DataFrame, op: str = "type") -> dict[str, DataFrame]:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -83,7 +83,7 @@ class Listener:
         rows = self.select.df()
         text = F.col(key).cast("string")
         if ids is None:
-            todo = rows.join(db.store.read(self.done).select(F.col(out.SOURCE).alias("_s")), text == F.col("_s"), "left_anti")
+            return self._backfill(db, rows, text, key)
         else:
             if not isinstance(ids, DataFrame):
                 ids = db.spark.createDataFrame([(str(i),) for i in ids], "id string")
@@ -91,13 +91,21 @@ class Listener:
             todo = rows.join(wanted, text == F.col("_s"), "left_semi")
         todo = db.stable(todo)
         sources = todo.select(text.alias(out.SOURCE)).distinct()
-        if ids is not None:  # ids that left the query lose their outputs as well
-            gone = db.stable(wanted.withColumnRenamed("_s", out.SOURCE))
-            db.store.rewrite(self.outputs, lambda old: old.join(gone, out.SOURCE, "left_anti").unionByName(self.predicted(todo, key)), token)
-            db.store.rewrite(self.done, lambda old: old.join(gone, out.SOURCE, "left_anti").unionByName(sources), token)
-        else:
-            db.store.append(self.outputs, self.predicted(todo, key), token)
-            db.store.append(self.done, sources, token)
+        # Ids that left the query lose their outputs as well.
+        gone = db.stable(wanted.withColumnRenamed("_s", out.SOURCE))
+        db.store.rewrite(self.outputs, lambda old: old.join(gone, out.SOURCE, "left_anti").unionByName(self.predicted(todo, key)), token)
+        db.store.rewrite(self.done, lambda old: old.join(gone, out.SOURCE, "left_anti").unionByName(sources), token)
+        return sources
+
+    def _backfill(self, db: Database, rows: DataFrame, text: Column, key: str) -> DataFrame:
+        """Predict for what neither table knows. Outputs are committed before the sources are marked
+        as done, so a run that failed in between has only the marks left to make."""
+        known = lambda table: db.store.read(table).select(F.col(out.SOURCE).alias("_s"))
+        left = db.stable(rows.join(known(self.done), text == F.col("_s"), "left_anti"))
+        todo = left.join(known(self.outputs), text == F.col("_s"), "left_anti")
+        db.store.append(self.outputs, self.predicted(todo, key))
+        sources = left.select(text.alias(out.SOURCE)).distinct()
+        db.store.append(self.done, sources)
         return sources
 
     def forget(self, db: Database, ids: DataFrame, token: tuple[str, int] | None = None) -> None:
@@ -171,13 +179,15 @@ def tree(table: str, listeners: list[Listener]) -> str:
     return "\n".join(lines)
 
 
-def on_change(db: Database, table: str, ids: DataFrame, deleted: bool = False, token: int | None = None) -> list[str]:
-    """Bring all listeners up to date with changed rows of a table; returns the ones that ran."""
+def on_change(db: Database, table: str, ids: DataFrame, deleted: bool = False, token: int | tuple[str, int] | None = None) -> list[str]:
+    """Bring all listeners up to date with changed rows of a table; returns the ones that ran. The
+    token of a batch is its number, with the name of its stream where there are several."""
+    stream, number = token if isinstance(token, tuple) else ("", token)
     chain = affected(table, db.listeners)
     changed: dict[str, DataFrame] = {table: db.stable(ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct())}
     ran = []
     for x in chain:
-        own = (f"change:{x.predict_id}", token) if token is not None else None
+        own = (f"change:{x.predict_id}:{stream}", number) if number is not None else None
         sources = changed.get(x.upstream)
         if sources is None or x.select.outputs_of:
             # Outputs joined to the base table are named by the base table's ids.
@@ -205,7 +215,7 @@ def follow(db: Database, stream: DataFrame, table: str, checkpoint: str, key: st
     def batch(rows: DataFrame, number: int) -> None:
         rows = db.stable(rows)
         db.store.append(table, rows, (name, number))
-        on_change(db, table, rows.select(key), token=number)
+        on_change(db, table, rows.select(key), token=(name, number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -108,11 +108,49 @@ def test_stream_is_idempotent(db, spark, tmp_path):
     assert values(db, x) == [2, 3, 4] and db.table("t").count() == 3
 
 
+def test_two_streams_and_two_tables_lose_nothing(db, spark, tmp_path):
+    t = db["t"]
+    x = db.listen(Listener("l", t, "x", plus(1)))
+    db.create_table("u", {"x": "int"})
+    y = db.listen(Listener("m", db["u"], "x", plus(100)))
+    for k in range(2):
+        rows = spark.createDataFrame([(f"{k}-{i}", 10 * k + i) for i in range(3)], "id string, x long")
+        rows.write.parquet(str(tmp_path / f"in{k}"))
+        for table in ("t", "u"):
+            listener.follow(db, spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{k}")), table, str(tmp_path / f"cp-{table}-{k}")).awaitTermination()
+    assert values(db, x) == [1, 2, 3, 11, 12, 13] and values(db, y) == [100, 101, 102, 110, 111, 112]
+
+
+@pytest.mark.parametrize("fails", [0, 1])
+def test_a_backfill_that_failed_can_be_repeated(db, monkeypatch, fails):
+    add(db, range(4))
+    x = db.listen(Listener("l", db["t"], "x", plus(1)), backfill=False)
+    real, calls = db.store._commit, []
+
+    def failing(name, number, entry):
+        calls.append(name)
+        if len(calls) == fails + 1:
+            raise OSError("lost")
+        return real(name, number, entry)
+
+    monkeypatch.setattr(db.store, "_commit", failing)
+    with pytest.raises(OSError):
+        x.run(db)
+    monkeypatch.setattr(db.store, "_commit", real)
+    x.run(db)
+    assert values(db, x) == [1, 2, 3, 4] and x.run(db).count() == 0
+    add(db, [9])
+    assert values(db, x) == [1, 2, 3, 4, 10]
+
+
 def test_events(spark):
     rows = spark.createDataFrame([("t", "insert", "b"), ("t", "insert", "a"), ("t", "delete", "c"), ("u", "insert", "a")], "table string, type string, id string")
     got = {(r["table"], r["type"]): r["ids"] for r in events.grouped(rows).collect()}
     assert got == {("t", "insert"): ["a", "b"], ("t", "delete"): ["c"], ("u", "insert"): ["a"]}
     assert events.by_kind(rows)["delete"].count() == 1
+    many = spark.range(5000).selectExpr("'t' as table", "cast(null as string) as type", "id % 2500 as id")
+    parts = events.grouped(many, batch=100).collect()
+    assert sum(r["n_ids"] for r in parts) == 2500 and max(r["n_ids"] for r in parts) < 200
 
 
 def test_cycles():
