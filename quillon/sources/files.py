@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,12 @@ class Files:
         fs = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def ages(self, name: str) -> dict[str, float]:
+        """Names inside a folder and when each was changed last, in seconds."""
+        path = self._path(name)
+        fs = self._fs(path)
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(path)} if fs.exists(path) else {}
+
     def read(self, name: str) -> bytes:
         path = self._path(name)
         stream = self._fs(path).open(path)
@@ -58,6 +66,14 @@ class Files:
             fs.delete(part, False)
         return bool(done)
 
+    def copy_in(self, local: str, name: str) -> None:
+        """A local file of any size, whole or not at all."""
+        path, part = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        fs = self._fs(path)
+        fs.copyFromLocalFile(False, True, self._jvm.org.apache.hadoop.fs.Path(f"file://{os.path.abspath(local)}"), part)
+        if not fs.rename(part, path):
+            fs.delete(part, False)
+
     def delete(self, name: str) -> None:
         path = self._path(name)
         self._fs(path).delete(path, True)
@@ -78,11 +94,14 @@ class Artifacts:
         return self.BLOB + name
 
     def put_file(self, path: str) -> str:
-        """Copy a local file; the reference is made of its name and content."""
+        """Copy a local file, part by part; the reference is made of its name and content."""
+        sha = hashlib.sha256(path.rsplit("/", 1)[-1].encode() + b":")
         with open(path, "rb") as f:
-            data = f.read()
-        name = hashlib.sha256(path.rsplit("/", 1)[-1].encode() + b":" + data).hexdigest()
-        self.put_bytes(data, name)
+            while part := f.read(1 << 20):
+                sha.update(part)
+        name = sha.hexdigest()
+        if not self.files.exists(f"{self.folder}/{name}"):
+            self.files.copy_in(path, f"{self.folder}/{name}")
         return self.FILE + name
 
     def get(self, reference: str) -> bytes:

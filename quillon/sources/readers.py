@@ -143,5 +143,6 @@ class _KeyedReader(DataSourceReader):
 
 
 def sampled(rows: DataFrame, key: str, size: int | None, seed: int = 42) -> DataFrame:
-    """The first `size` rows in an order that depends on the key and the seed alone."""
-    return rows if size is None else rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(size)
+    """The first `size` rows in an order that depends on the key and the seed alone: that of the MD5
+    of `key:seed`, which other systems have as well."""
+    return rows if size is None else rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(size)

@@ -5,11 +5,18 @@ table from then on; writing a data folder has no effect until an entry names it.
 made only if their number is free, so a writer that lost a race reads the log again and tries
 anew, and readers keep the snapshot that they began with. An entry may carry a token, and a
 token is committed once: that makes streaming writers idempotent.
+
+An entry that only adds a folder names that folder alone; every WHOLE-th entry names them all, so a
+log grows with its commits, not with their square. vacuum() deletes what no entry needs any more.
+
+Entries are taken by creating a file that must not exist, and shown by a rename. Both are atomic on
+HDFS and local disks. On stores whose rename isn't (S3), a table may have one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +28,10 @@ from quillon import types
 from quillon.sources.files import Files
 
 
+#: Entries from one that names all folders to the next.
+WHOLE = 32
+
+
 class NotFound(KeyError):
     """A table, component or artifact that doesn't exist."""
 
@@ -54,7 +65,19 @@ class TableStore:
         log = self._log(name)
         if not log:
             raise NotFound(f"no table {name!r}")
-        return self._entry(name, log[-1])
+        return self._state(name, log)
+
+    def _state(self, name: str, log: list[str]) -> dict:
+        """What the log's last entry means: the last whole entry and what was added since."""
+        added: list[dict] = []
+        for number in reversed(log):
+            entry = self._entry(name, number)
+            if "folders" in entry:
+                for x in reversed(added):
+                    entry = entry | {"folders": [*entry["folders"], x["add"]], "tokens": entry["tokens"] | x["tokens"]}
+                return entry
+            added.append(entry)
+        raise NotFound(f"the log of {name!r} has lost its beginning")
 
     def exists(self, name: str) -> bool:
         return name in self.views or bool(self._log(name))
@@ -124,14 +147,39 @@ class TableStore:
             log = self._log(name)
             if not log:
                 raise NotFound(f"no table {name!r}")
-            before = self._entry(name, log[-1])
+            before = self._state(name, log)
             entry = make(before)
             if entry is None:
                 return before
-            if self._commit(name, int(log[-1].split(".")[0]) + 1, entry):
+            number = int(log[-1].split(".")[0]) + 1
+            if self._commit(name, number, entry if number % WHOLE == 0 else self._short(before, entry)):
                 return entry
         raise RuntimeError(f"too many writers on {name!r}")
 
+    @staticmethod
+    def _short(before: dict, entry: dict) -> dict:
+        """The entry as what it adds, if it does nothing but add a folder."""
+        same = all(before[k] == entry[k] for k in before if k not in ("folders", "tokens"))
+        if not same or entry["folders"][:-1] != before["folders"] or not entry["folders"]:
+            return entry
+        return {"add": entry["folders"][-1], "tokens": {k: v for k, v in entry["tokens"].items() if before["tokens"].get(k) != v}}
+
+    def vacuum(self, name: str, older_than: float = 7 * 86400) -> list[str]:
+        """Delete data folders that the table no longer has, and entries before the last whole one, if
+        they are older than so many seconds: readers and writers that began before must have ended."""
+        log = self._log(name)
+        if not log:
+            raise NotFound(f"no table {name!r}")
+        used = set(self._state(name, log)["folders"])
+        whole = max(i for i, number in enumerate(log) if "folders" in self._entry(name, number))
+        until = time.time() - older_than
+        ages = {f"tables/{name}/{n}": t for n, t in self.files.ages(f"tables/{name}").items() if n.startswith("data-") and n not in used}
+        ages |= {f"tables/{name}/log/{n}": t for n, t in self.files.ages(f"tables/{name}/log").items() if n in log[:whole]}
+        gone = sorted(path for path, made in ages.items() if made <= until)
+        for path in gone:
+            self.files.delete(path)
+        return gone
+
     def append(self, name: str, rows: DataFrame, token: tuple[str, int] | None = None) -> DataFrame | None:
         """Add rows; returns them as stored. With a token (writer, batch number) a batch that the
         writer committed before is left out, and None returned."""

@@ -54,6 +54,25 @@ def test_writers_that_race(spark, store):
     assert store.read("t").count() == 5
 
 
+def test_log_grows_with_its_commits(spark, store, monkeypatch):
+    from quillon.sources import store as module
+
+    monkeypatch.setattr(module, "WHOLE", 4)
+    store.create("t", {"x": "int"})
+    for k in range(10):
+        store.append("t", rows(spark, 1, k), ("writer", k))
+    assert store.append("t", rows(spark, 1), ("writer", 3)) is None
+    entries = [store._entry("t", n) for n in store._log("t")]
+    assert [("folders" in e) for e in entries] == [k % 4 == 0 for k in range(11)]
+    assert sorted(r["x"] for r in store.read("t").collect()) == list(range(10))
+    store.rewrite("t", lambda r: r.filter("x > 7"))
+    before = store.read("t")
+    assert store.vacuum("t") == [] and len(store.vacuum("t", older_than=-60)) == 10 + 11
+    assert before.count() == store.read("t").count() == 2
+    store.append("t", rows(spark, 1, 50))
+    assert store.read("t").count() == 3
+
+
 def test_conformed(spark, store):
     store.create("t", {"x": "int", "v": "vector[float:2]"})
     store.append("t", spark.createDataFrame([("5", [1.0, 2.0])], "x string, v array<double>"))
