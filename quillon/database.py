@@ -15,6 +15,7 @@ from quillon.operators import mutations, vector
 from quillon.operators import outputs as out
 from quillon.operators.models import Model
 from quillon.plans.components import Catalog
+from quillon.plans.predicates import Predicate, apply, is_rows
 from quillon.plans.query import Like, Query
 from quillon.session import ship
 from quillon.sources.files import Artifacts
@@ -100,6 +101,13 @@ class Database:
             sc.setCheckpointDir(f"{self.store.root}/checkpoints")
         return rows.checkpoint()
 
+    def kept(self, rows: DataFrame, *folders: str) -> DataFrame:
+        """rows written as Parquet under the database's root, with a folder for each value of some
+        columns, and reread."""
+        path = f"{self.store.root}/work/{uuid.uuid4().hex}"
+        rows.write.partitionBy(*folders).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     # --- rows
 
     def insert(self, table: str, rows: DataFrame | Iterable[dict[str, Any]]) -> list[str]:
@@ -202,7 +210,7 @@ class Database:
         """(id, score) of the n nearest vectors, among some ids if given."""
         rows, key, column, query, n, measure = self.search(Like(document, vector_index, n))
         if ids is not None:
-            rows = rows.filter(F.col(key).isin(list(ids)))
+            rows = apply(rows, [(Predicate(key, "isin", ids if is_rows(ids) else tuple(ids)), key)])
         return vector.nearest(rows, key, column, query, n, measure).withColumnRenamed(key, "id")
 
     # --- code and configuration

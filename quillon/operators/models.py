@@ -164,7 +164,7 @@ class Model:
         """Metrics of predictions against a target column: one pass for all expressions, and one
         for each Python function."""
         scored = self.predict_in(rows, key, "_prediction")
-        passes = [[m for m in metrics if m.expression is not None], *([m] for m in metrics if m.expression is None)]
+        passes = [[m for m in metrics if m.function is None], *([m] for m in metrics if m.function is not None)]
         out: dict[str, float] = {}
         for own in filter(None, passes):
             out |= scored.agg(*[m.column(F.col("_prediction"), F.col(quoted(target))).alias(m.identifier) for m in own]).first().asDict()
@@ -314,16 +314,26 @@ def retrieval_model(identifier: str, search: Callable[[str], list[str]], llm: Mo
 
 @dataclass
 class Metric:
-    """A number from predictions and targets: an aggregate expression, or a Python function of
-    both whole columns (which one task then holds: for validation sets)."""
+    """A number from predictions and targets: an aggregate expression, the mean of a Python function
+    of each pair, or a Python function of both whole columns (which one task then holds: for
+    validation sets only)."""
 
     identifier: str
     expression: Callable[[Column, Column], Column] | None = None
     function: Callable[[Sequence, Sequence], float] | None = None
+    each: Callable[[Any, Any], float] | None = None
 
     def column(self, prediction: Column, target: Column) -> Column:
         if self.expression is not None:
             return self.expression(prediction, target)
+        if self.each is not None:
+            one = self.each
+
+            @F.pandas_udf("double")
+            def pairs(x: pd.Series, y: pd.Series) -> pd.Series:
+                return pd.Series([float(one(a, b)) for a, b in zip(x.tolist(), y.tolist())])
+
+            return F.avg(pairs(prediction, target))
         function = self.function
 
         @F.pandas_udf("double")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 MEASURES = ("cosine", "dot", "l2")
+#: Components from which on products of whole batches are the faster way.
+LONG = 128
 
 
 def _check(measure: str) -> None:
@@ -36,8 +38,8 @@ def score(vector: Column, query: list[float], measure: str = "cosine") -> Column
 
 
 def score_batches(vector: Column, query: list[float], measure: str = "cosine") -> Column:
-    """The same scores by matrix products over Arrow batches: faster for long vectors. All
-    vectors must have the query's length; a null vector has a null score."""
+    """The same scores by matrix products over Arrow batches: faster for long vectors. A null vector,
+    or one of another length than the query's, has a null score."""
     _check(measure)
     q = np.asarray(query, np.float64)
 
@@ -45,7 +47,7 @@ def score_batches(vector: Column, query: list[float], measure: str = "cosine") -
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = np.sqrt(q @ q)
         for batch in batches:
-            good = batch.notna().to_numpy()
+            good = np.array([v is not None and len(v) == len(q) for v in batch], bool)
             out = np.full(len(batch), np.nan)
             if good.any():
                 x = np.stack(batch[good].to_numpy()).astype(np.float64)
@@ -62,11 +64,17 @@ def score_batches(vector: Column, query: list[float], measure: str = "cosine") -
     return F.nanvl(run(vector), F.lit(None).cast("double"))
 
 
-def nearest(rows: DataFrame, key: str, vector: str, query: list[float], n: int = 100, measure: str = "cosine", batches: bool = False) -> DataFrame:
-    """(key, score) of the n nearest rows, best first; ties by key. Each task keeps n rows only."""
-    own = (score_batches if batches else score)(F.col(vector), query, measure)
-    scored = rows.select(key, own.alias("score")).filter("score is not null")
-    return scored.orderBy(F.desc("score"), key).limit(n)
+def scored(vector: str, query: list[float], n: int, measure: str) -> Column:
+    """The score of a vector column, the faster way for its length."""
+    return (score_batches if len(query) >= LONG else score)(F.col(vector), query, measure)
+
+
+def nearest(rows: DataFrame, key: str, vector: str, query: list[float], n: int = 100, measure: str = "cosine", batches: bool | None = None) -> DataFrame:
+    """(key, score) of the n nearest rows, best first; ties by key. Each task keeps n rows only.
+    batches: by products of whole batches; by default where vectors are long."""
+    own = scored(vector, query, n, measure) if batches is None else (score_batches if batches else score)(F.col(vector), query, measure)
+    found = rows.select(key, own.alias("score")).filter("score is not null")
+    return found.orderBy(F.desc("score"), key).limit(n)
 
 
 def nearest_to_id(rows: DataFrame, key: str, vector: str, value, n: int = 100, measure: str = "cosine") -> DataFrame:
@@ -92,9 +100,8 @@ def like_first(base: DataFrame, key: str, index: DataFrame, index_key: str, vect
 def like_last(base: DataFrame, key: str, index: DataFrame, index_key: str, vector: str, query: list[float], n: int, measure: str) -> DataFrame:
     """The n rows of base whose vectors are nearest; rows without a vector are left out."""
     vectors = index.select(F.col(index_key).alias("_key"), F.col(vector).alias("_vector"))
-    scored = base.join(vectors, F.col(key) == F.col("_key")).withColumn("score", score(F.col("_vector"), query, measure)).drop("_key", "_vector")
-    scored = scored.filter("score is not null")
-    return scored.orderBy(F.desc("score"), key).limit(n)
+    found = base.join(vectors, F.col(key) == F.col("_key")).withColumn("score", scored("_vector", query, n, measure)).drop("_key", "_vector")
+    return found.filter("score is not null").orderBy(F.desc("score"), key).limit(n)
 
 
 def upsert(index: DataFrame, items: DataFrame, key: str, order: str) -> DataFrame:

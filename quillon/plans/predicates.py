@@ -76,7 +76,9 @@ class Field:
         return self._make(">=", value)
 
     def isin(self, values: Any) -> Predicate:
-        return self._make("isin", tuple(values))
+        """One of some literals, or of the values in the first column of a query or a DataFrame: then
+        a semi-join, and nothing comes to the client."""
+        return self._make("isin", values if is_rows(values) else tuple(values))
 
     __hash__ = None  # type: ignore[assignment]
 
@@ -84,6 +86,10 @@ class Field:
         return f"Field({self.name!r})"
 
 
+def is_rows(values: Any) -> bool:
+    return isinstance(values, DataFrame) or hasattr(values, "df")
+
+
 def quoted(name: str) -> str:
     """A column's name for F.col: dots reach into structs, all else is literal."""
     return ".".join(f"`{p}`" for p in name.split(".")) if not name.startswith("`") else name
@@ -92,11 +98,15 @@ def quoted(name: str) -> str:
 def apply(rows: DataFrame, predicates: list[tuple[Predicate, str]], keep_missing: bool = False) -> DataFrame:
     """Rows on which all predicates hold, each on its resolved column. Long lists of literals are
     semi-joins, so that the plan stays small."""
-    short = [p.column(name, keep_missing) for p, name in predicates if p.op != "isin" or len(p.value) <= IN_LIST]
+    short = [p.column(name, keep_missing) for p, name in predicates if p.op != "isin" or not is_rows(p.value) and len(p.value) <= IN_LIST]
     if short:
         rows = rows.filter(reduce(lambda a, b: a & b, short))
     for p, name in predicates:
-        if p.op == "isin" and len(p.value) > IN_LIST:
+        if p.op == "isin" and is_rows(p.value):
+            wanted = p.value if isinstance(p.value, DataFrame) else p.value.df()
+            wanted = wanted.select(F.col(quoted(wanted.columns[0])).alias("_wanted"))
+            rows = rows.join(wanted, F.col(quoted(name)) == F.col("_wanted"), "left_semi")
+        elif p.op == "isin" and len(p.value) > IN_LIST:
             kind = rows.select(F.col(quoted(name))).schema.fields[0].dataType.simpleString()
             wanted = rows.sparkSession.createDataFrame([(v,) for v in set(p.value) if v is not None], f"_wanted {kind}")
             rows = rows.join(wanted, F.col(quoted(name)) == F.col("_wanted"), "left_semi")

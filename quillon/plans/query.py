@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillon.functions.nested import set_variables, variables_in
@@ -119,9 +119,11 @@ class Query:
         rows = db.table(self.table)
         score: list[str] = []
         search = None
+        own_vectors = False
         if self.likeness:
             search = db.search(self.likeness)
             score = ["score"]
+            own_vectors = not self.likeness.first and db.indexes[self.likeness.index].table == self.table
             if self.likeness.first:
                 rows = vector.like_first(rows, key, *search)
         base = list(rows.columns)
@@ -135,6 +137,8 @@ class Query:
             rows = out.joined(rows, key, [(n, db.table(n)) for n in names], self.how)
             added = names
         rows = apply(rows, [(p, out.resolve(p.field, rows.columns)) for p in late])
+        if own_vectors:  # the vector is in the row
+            rows = rows.withColumn("score", vector.scored(search[2], *search[3:]))
         wanted = None
         if self.columns is not None:
             wanted = [out.resolve(c, rows.columns) for c in self.columns]
@@ -142,7 +146,9 @@ class Query:
             hidden = [key] if key not in wanted else []
             visible = [c for c in score if c in rows.columns]
             rows = rows.select(*[F.col(quoted(c)).alias(c) for c in wanted + hidden], *visible)
-        if self.likeness and not self.likeness.first:
+        if own_vectors:
+            rows = rows.filter("score is not null").orderBy(F.desc("score"), quoted(key)).limit(self.likeness.n)
+        elif self.likeness and not self.likeness.first:
             rows = vector.like_last(rows, key, *search)
         if self.likeness:
             rows = rows.orderBy(F.desc("score"), quoted(key)) if self.likeness.first else rows
@@ -196,25 +202,40 @@ class Query:
         keep = replace(self, columns=None)
         return out.missing(keep.df(), key, rows).select(F.col(quoted(key)).cast("string").alias(key))
 
-    def numbered_chunks(self, n: int) -> DataFrame:
-        """The rows with the number of their chunk of n rows, in order of the primary id. Rows are
-        counted within ranges of ids first, so no task numbers all of them."""
+    def _numbered(self) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+        """The rows with _part and _row, their place in a range of primary ids, written with a folder
+        for each range; and (range, rows before it, its rows). One shuffle, no window: a row's place
+        in its sorted partition is the lower part of its monotonic id."""
         key = self._db.primary_id(self.table)
         rows = self.df()
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartitionByRange(parts, quoted(key)).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(quoted(key))))
-        dealt = self._db.stable(dealt)
-        counts = dealt.groupBy("_part").agg(F.max("_row").alias("_n"))
-        before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        number = F.floor((F.col("_before") + F.col("_row") - 1) / n).cast("long").alias("chunk")
-        return dealt.join(F.broadcast(before), "_part").select(*[f"`{c}`" for c in rows.columns], number)
+        own = F.monotonically_increasing_id()
+        dealt = rows.repartitionByRange(parts, quoted(key)).sortWithinPartitions(quoted(key)).withColumn("_row", own)
+        dealt = dealt.withColumn("_part", F.shiftright("_row", 33).cast("int")).withColumn("_row", F.col("_row").bitwiseAND((1 << 33) - 1))
+        dealt = self._db.kept(dealt, "_part")
+        # As many rows as there are shuffle partitions.
+        counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+        places, before = [], 0
+        for part in sorted(counts):
+            places.append((part, before, counts[part]))
+            before += counts[part]
+        return dealt, places
+
+    def numbered_chunks(self, n: int) -> DataFrame:
+        """The rows with the number of their chunk of n rows, in order of the primary id."""
+        dealt, places = self._numbered()
+        before = dealt.sparkSession.createDataFrame([p[:2] for p in places], "_part int, _before long")
+        number = F.floor((F.col("_before") + F.col("_row")) / n).cast("long").alias("chunk")
+        return dealt.join(F.broadcast(before), "_part").select(*[f"`{c}`" for c in dealt.columns if c not in ("_part", "_row")], number)
 
     def chunks(self, n: int) -> Iterator[DataFrame]:
-        """The rows in blocks of n by primary id."""
-        numbered = self._db.stable(self.numbered_chunks(n))
-        last = numbered.agg(F.max("chunk")).first()[0]
-        for k in range(0 if last is None else last + 1):
-            yield numbered.filter(F.col("chunk") == k).drop("chunk")
+        """The rows in blocks of n by primary id. Each reads the folders that hold it alone."""
+        dealt, places = self._numbered()
+        total = places[-1][1] + places[-1][2] if places else 0
+        for low in range(0, total, n):
+            held = [(part, before) for part, before, rows in places if before < low + n and before + rows > low]
+            row = sum((F.when(F.col("_part") == part, F.lit(before)).otherwise(0) for part, before in held), F.lit(0)) + F.col("_row")
+            yield dealt.filter(F.col("_part").isin([p for p, _ in held]) & (row >= low) & (row < low + n)).drop("_part", "_row")
 
     # --- mutations
 
@@ -236,7 +257,7 @@ class Query:
     def to_dict(self) -> dict[str, Any]:
         return {
             "table": self.table,
-            "filters": [[p.field, p.op, list(p.value) if p.op == "isin" else p.value] for p in self.filters],
+            "filters": [[p.field, p.op, _literal(p)] for p in self.filters],
             "outputs": list(self.outputs_of),
             "how": self.how,
             "columns": None if self.columns is None else list(self.columns),
@@ -248,7 +269,7 @@ class Query:
 
     @staticmethod
     def from_dict(d: dict[str, Any], db: Database | None = None) -> Query:
-        filters = tuple(Predicate(f, op, tuple(v) if op == "isin" else v) for f, op, v in d["filters"])
+        filters = tuple(Predicate(f, op, (Query.from_dict(v, db) if isinstance(v, dict) else tuple(v)) if op == "isin" else v) for f, op, v in d["filters"])
         likeness = Like(**d["like"]) if d["like"] else None
         return Query(d["table"], db, filters, tuple(d["outputs"]), d["how"], None if d["columns"] is None else tuple(d["columns"]), likeness, d["limit"], d["offset"], d["begun"])
 
@@ -261,6 +282,16 @@ class Query:
         return Query.from_dict(json.loads(text, object_hook=_object), db)
 
 
+def _literal(p: Predicate) -> Any:
+    if p.op != "isin":
+        return p.value
+    if isinstance(p.value, Query):
+        return p.value.to_dict()
+    if isinstance(p.value, DataFrame):
+        raise TypeError("a DataFrame has no text form; use a query")
+    return list(p.value)
+
+
 def _plain(value: Any) -> Any:
     if isinstance(value, (datetime.datetime, datetime.date)):
         return {"__time__": value.isoformat(), "date": not isinstance(value, datetime.datetime)}
