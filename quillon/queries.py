@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from dataclasses import make_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from quillon.operators import models, mutations, outputs, training, vector
 from quillon.plans import components
 from quillon.plans.predicates import Predicate
 from quillon.plans.query import Query
+from quillon.session import shared
 from quillon.sources import datasets, readers
-from quillon.streaming import events, listener, windows
+from quillon.streaming import cron, events, listener, queue, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,14 +46,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 def database(spark: SparkSession, sf_dir: str) -> Database:
     """The test tables under their names. Tables that a query makes go to the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quillon-")
-    import uuid
-
-    db = connect(spark, f"{base.rstrip('/')}/db-{uuid.uuid4().hex}")
+    db = connect(spark, f"{shared(spark)}/db-{uuid.uuid4().hex}")
     db.sf_dir = sf_dir
     for table, key in KEYS.items():
         db.store.attach(table, lambda path=f"{sf_dir}/{table}.parquet": spark.read.parquet(path), key)
@@ -185,7 +181,7 @@ def chunks(db: Database) -> DataFrame:
     return db["orders"].select("o_orderkey").numbered_chunks(100)
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5(concat(doc_id, ':42')), doc_id LIMIT 50")
 def sample(db: Database) -> DataFrame:
     return readers.sampled(db.table("documents").select("doc_id", "lang"), "doc_id", 50)
 
@@ -253,9 +249,9 @@ def missing_outputs_leftnull(db: Database) -> DataFrame:
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def semi_in(db: Database) -> DataFrame:
-    found = [r[0] for r in db.table("labels").filter("quality = 1").select("doc_id").collect()]
-    t = db["documents"]
-    return t.filter(t.primary_id.isin(found)).select("doc_id", "lang").execute()
+    t, labels = db["documents"], db["labels"]
+    good = labels.filter(labels["quality"] == 1).select("doc_id")
+    return t.filter(t.primary_id.isin(good)).select("doc_id", "lang").execute()
 
 
 @query(UPPER + " SELECT '_outputs__upper__0001' AS name, count(*) AS n FROM u")
@@ -265,10 +261,20 @@ def complete_uuids(db: Database) -> DataFrame:
     return db.table(name).agg(F.count("*").alias("n")).withColumn("name", F.lit(name))
 
 
-@query("SELECT n.n_name AS child, r.r_name AS parent FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def world(db: Database) -> components.Component:
+    """The regions as components, used by one that is applied."""
+    parts = [components.Component(r["r_name"], "region", {"key": r["r_regionkey"]}, ("key",)) for r in db.table("region").orderBy("r_regionkey").collect()]
+    whole = components.Component("world", "world", {"regions": parts}, ("regions",))
+    db.apply(whole)
+    return whole
+
+
+@query("SELECT 'child' AS role, 'region' AS kind, r_name AS identifier FROM region UNION ALL SELECT 'parent', 'world', 'world'")
 def parent_child_lookup(db: Database) -> DataFrame:
-    edges = db.table("nation").select("n_name", "n_regionkey")
-    return edges.join(db.table("region"), edges["n_regionkey"] == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    whole = world(db)
+    below = db.catalog.children(whole.uuid).withColumn("role", F.lit("child"))
+    above = db.catalog.parents(whole.children()[0].uuid).withColumn("role", F.lit("parent"))
+    return below.unionByName(above).select("role", "kind", "identifier")
 
 
 # --- aggregates
@@ -279,9 +285,49 @@ def max_version(db: Database) -> DataFrame:
     return components.max_versions(db.table("events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
+@query("SELECT r_name AS identifier, 0 AS version, CASE WHEN r_regionkey = 1 THEN 'failed' ELSE 'success' END AS status FROM region UNION ALL SELECT 'world', 0, 'failed'")
 def latest_status(db: Database) -> DataFrame:
-    return db.table("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    db.catalog.set_failed(world(db).children()[1].uuid, "broken")  # and what uses it
+    return db.catalog.status().select("identifier", F.col("version").cast("int").alias("version"), "status")
+
+
+@query("SELECT r_name AS identifier, r_regionkey AS key FROM region WHERE r_regionkey <> 4 UNION ALL SELECT 'again', 1")
+def load_and_teardown(db: Database) -> DataFrame:
+    whole = world(db)
+    again = components.Component("again", "region", {"key": 1}, ("key",))
+    db.apply(again)
+    db.catalog.teardown("world", "world")
+    db.catalog.teardown("region", whole.children()[4].identifier)
+    return db.spark.createDataFrame([(c.identifier, c.fields["key"]) for c in db.catalog.load_all("region")], "identifier string, key int")
+
+
+@query("SELECT 'new' AS status, r_name AS identifier, 0 AS version FROM region WHERE r_regionkey < 2 UNION ALL VALUES ('same', 'one', 0), ('breaking', 'two', 1), ('update', 'three', 0)")
+def plan_steps(db: Database) -> DataFrame:
+    part = lambda name, size, note: components.Component(name, "model", {"size": size, "note": note}, ("size",))
+    for name in ("one", "two", "three"):
+        db.apply(part(name, 1, "a"))
+    regions = [part(r["r_name"], r["r_regionkey"], "") for r in db.table("region").filter("r_regionkey < 2").collect()]
+    app = components.Component("app", "application", {"parts": [part("one", 1, "a"), part("two", 2, "a"), part("three", 1, "b"), *regions]})
+    steps = [(s.status, s.component.identifier, s.version) for s in db.catalog.plan(app) if s.component.kind == "model"]
+    return db.spark.createDataFrame(steps, "status string, identifier string, version int")
+
+
+@query("SELECT * FROM (VALUES ('first', 'success', ''), ('second', 'failed', 'ValueError: no'), ('third', 'failed', 'a job that it depends on failed'), ('fourth', 'success', '')) AS v(method, status, error)")
+def job_run(db: Database) -> DataFrame:
+    def fails(_) -> None:
+        raise ValueError("no")
+
+    jobs = [components.Trigger("third", print, depends=("second",)), components.Trigger("first", lambda _: None), components.Trigger("second", fails, depends=("first",)), components.Trigger("fourth", lambda _: None, depends=("first",))]
+    model = components.Component("m", "model", {"size": 1})
+    db.catalog.apply(model, jobs)
+    return db.catalog.table("_jobs").select("method", "status", "error")
+
+
+@query("SELECT r_name AS identifier, CAST(r_regionkey AS VARCHAR) AS key FROM region")
+def sink_export(db: Database) -> DataFrame:
+    text = json.dumps(db.catalog.export(world(db)))
+    back = db.catalog.read(json.loads(text))
+    return db.spark.createDataFrame([(c.identifier, str(c.fields["key"])) for c in back.children()], "identifier string, key string")
 
 
 @query("SELECT avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) AS accuracy FROM labels")
@@ -291,7 +337,7 @@ def metric_accuracy(db: Database) -> DataFrame:
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) * 1.0 / count(*) AS share FROM labels")
 def metric_python(db: Database) -> DataFrame:
-    share = models.Metric("share", function=lambda p, y: sum(a == 1 and b == 0 for a, b in zip(p, y)) / len(p))
+    share = models.Metric("share", each=lambda quality, toxic: quality == 1 and toxic == 0)
     return db.table("labels").agg(share.column(F.col("quality"), F.col("toxic")).alias("share"))
 
 
@@ -307,9 +353,12 @@ def best_so_far(db: Database) -> DataFrame:
     return training.best_so_far(db.table("events").select("event_type", "event_id", "value"), "event_type", "event_id", "value")
 
 
-@query("SELECT user_id, list(event_type ORDER BY event_id)[-1] AS last, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT doc_id % 2 AS step, avg(CASE WHEN toxic = quality THEN 1.0 ELSE 0.0 END) AS accuracy FROM labels GROUP BY doc_id % 2")
 def append_metrics(db: Database) -> DataFrame:
-    return db.table("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.count("*").alias("n"))
+    model = models.Model("same", lambda x: x, "int")
+    for half in (0, 1):
+        model.append_metrics(model.validate(db.table("labels").filter(F.col("doc_id") % 2 == half), "toxic", "quality", [models.ACCURACY]))
+    return db.spark.createDataFrame(list(enumerate(model.metrics["accuracy"])), "step long, accuracy double")
 
 
 @query("SELECT count(embedding) AS size, max(len(embedding)) AS dimensions, 'cosine' AS measure FROM embeddings")
@@ -442,12 +491,20 @@ def udtf_model(db: Database) -> DataFrame:
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 150000")
-def udf_query(db: Database) -> DataFrame:
+def variables(db: Database) -> DataFrame:
     t = db["orders"]
     asked = t.filter(t["o_orderstatus"] == "<var:status>", t["o_totalprice"] > "<var:least>").select("o_orderkey", "o_totalprice")
     return asked.set_variables(status="O", least=150000.0).execute()
 
 
+@query("SELECT status, count(*) AS n, max(o_totalprice) AS most FROM (SELECT o_orderstatus AS status, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 20) GROUP BY status")
+def udf_query(db: Database) -> DataFrame:
+    t = db["orders"]
+    asked = t.filter(t["o_orderstatus"] == "<var:status>").select("o_totalprice").limit(20)
+    model = models.QueryModel("top", asked, postprocess=lambda rows: (len(rows), max(r["o_totalprice"] for r in rows)))
+    return db.spark.createDataFrame([(s, *model.predict(status=s)) for s in ("F", "O")], "status string, n long, most double")
+
+
 @query("SELECT conv_id, turn, concat('Answer: ', text, ' (', role, ')') AS prompt FROM conversations")
 def prompt_format(db: Database) -> DataFrame:
     return db.table("conversations").select("conv_id", "turn", text.prompt_column(F.col("text"), "Answer: {input} ({context})", F.array("role")).alias("prompt"))
@@ -504,6 +561,11 @@ def json_encode(db: Database) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_decode(db: Database) -> DataFrame:
+    return db.table("events").select("event_id", encoding.json_decode(F.col("props"), "k string")["k"].alias("k"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_get(db: Database) -> DataFrame:
     return db.table("events").select("event_id", encoding.json_get(F.col("props"), "k").alias("k"))
 
 
@@ -613,7 +675,7 @@ def insert(db: Database) -> DataFrame:
 @query("SELECT event_type AS type, 'events' AS \"table\", count(DISTINCT event_id) AS n_ids, min(event_id) AS least FROM events GROUP BY event_type")
 def event_group(db: Database) -> DataFrame:
     rows = db.table("events").select(F.lit("events").alias("table"), F.col("event_type").alias("type"), F.col("event_id").alias("id"))
-    return events.grouped(rows).select("type", "table", F.col("n_ids").cast("long").alias("n_ids"), F.col("ids")[0].alias("least"))
+    return events.grouped(rows).groupBy("type", "table").agg(F.sum("n_ids").alias("n_ids"), F.min(F.col("ids")[0]).alias("least"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'delete' WHEN o_orderkey % 5 = 1 THEN 'update' ELSE 'insert' END AS type FROM orders WHERE o_orderkey % 5 IN (0, 1, 2)")
@@ -650,10 +712,156 @@ def listener_chain(db: Database) -> DataFrame:
     return step.join(db.table(second.outputs), F.col("_source") == step["id"]).select("c_custkey", F.col(second.outputs).alias("value"))
 
 
-@query("SELECT u.doc_id FROM documents u WHERE u.lang NOT IN ('en', 'de')")
+@query("SELECT sha256(r_name) AS artifact FROM region WHERE r_regionkey NOT IN (1, 3)")
 def artifact_gc(db: Database) -> DataFrame:
-    used = db.table("documents").filter("lang in ('en', 'de')").select("doc_id")
-    return db.table("documents").select("doc_id").join(used, "doc_id", "left_anti")
+    names = [r["r_name"] for r in db.table("region").orderBy("r_regionkey").collect()]
+    refs = [db.artifacts.put_bytes(n.encode()) for n in names]
+    db.apply(components.Component("uses", "model", {"weights": refs[1], "more": [refs[3]]}))
+    return db.spark.createDataFrame([(n,) for n in db.catalog.collect_garbage()], "artifact string")
+
+
+# --- what is called on the client: small values, from the test tables
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def get_table(db: Database) -> DataFrame:
+    db.attach("regions", db.table("region"), "r_regionkey")
+    return db.table("regions").select("r_regionkey", "r_name")
+
+
+@query("SELECT r_name AS name, r_regionkey AS number FROM region")
+def insert_objects(db: Database) -> DataFrame:
+    Place = make_dataclass("Place", [("name", str), ("number", int)])  # noqa: N806
+    db.insert_objects([Place(r["r_name"], r["r_regionkey"]) for r in db.table("region").collect()])
+    return db["Place"].select("name", "number").execute()
+
+
+@query("SELECT r_regionkey AS position, r_name AS name FROM region")
+def topo_sort(db: Database) -> DataFrame:
+    rows = {r["r_regionkey"]: r["r_name"] for r in db.table("region").orderBy(F.desc("r_regionkey")).collect()}
+    before = {name: [rows[k - 1]] if k else [] for k, name in rows.items()}
+    return db.spark.createDataFrame(list(enumerate(listener.topological({n: n for n in before}, before.get))), "position int, name string")
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id IN (0, 5, 7)")
+def index_get_vectors(db: Database) -> DataFrame:
+    rows, key, column = indexed(db).index_rows(db.indexes["vectors"])
+    return rows.filter(F.col(key).isin(0, 5, 7)).select(F.col(key).alias("vec_id"), F.round(F.col(column)[0].cast("double"), 6).alias("first"))
+
+
+@query("SELECT unnest(range(64)) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings WHERE vec_id = 0")
+def index_get_vector(db: Database) -> DataFrame:
+    found = indexed(db).indexes["vectors"].query_vector({"embedding": zero(db)})
+    return db.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(found)], "i long, x double")
+
+
+@query("SELECT r_regionkey AS leaf FROM region WHERE r_regionkey > 2")
+def recursive_find(db: Database) -> DataFrame:
+    value = {"regions": [{"name": r["r_name"], "keys": (r["r_regionkey"],)} for r in db.table("region").collect()]}
+    return db.spark.createDataFrame([(x,) for x in nested.find_leaves(value, lambda x: isinstance(x, int) and x > 2)], "leaf int")
+
+
+@query("SELECT concat('a.', r_name) AS path, r_regionkey AS \"left\", CASE WHEN r_regionkey < 4 THEN r_regionkey + 1 END AS \"right\" FROM region WHERE r_regionkey % 2 = 1 OR r_regionkey = 4")
+def dict_diff(db: Database) -> DataFrame:
+    old = {r["r_name"]: r["r_regionkey"] for r in db.table("region").collect()}
+    new = {n: k + k % 2 for n, k in old.items() if k < 4}
+    return db.spark.createDataFrame([(p, a, b) for p, (a, b) in nested.dict_diff({"a": old}, {"a": new}).items()], "path string, left int, right int")
+
+
+@query("SELECT r_name AS name, r_regionkey + CASE WHEN r_regionkey > 2 THEN 10 ELSE 0 END AS key FROM region")
+def deep_update(db: Database) -> DataFrame:
+    rows = {r["r_name"]: {"key": r["r_regionkey"], "old": True} for r in db.table("region").collect()}
+    out = nested.deep_update(rows, {n: {"key": v["key"] + 10} for n, v in rows.items() if v["key"] > 2})
+    return db.spark.createDataFrame([(n, v["key"]) for n, v in out.items() if v["old"]], "name string, key int")
+
+
+@query("SELECT r_name AS name, concat('key ', r_regionkey) AS text, r_regionkey AS value FROM region")
+def handle_references(db: Database) -> DataFrame:
+    known = {r["r_name"].replace(" ", "_"): {"key": r["r_regionkey"], "name": r["r_name"]} for r in db.table("region").collect()}
+    out = [nested.fill_references({"name": f"?({n}.name)", "text": f"key ?({n}.key)", "value": f"?({n}.key)"}, known) for n in known]
+    return db.spark.createDataFrame([(v["name"], v["text"], v["value"]) for v in out], "name string, text string, value int")
+
+
+@query("SELECT r_name AS name, sha256(r_name) AS text, sha256(concat('<int>', r_regionkey)) AS number, sha256(concat(sha256(r_name), sha256(concat('<int>', r_regionkey)))) AS both FROM region")
+def hash_item(db: Database) -> DataFrame:
+    rows = [(r["r_name"], encoding.hash_value(r["r_name"]), encoding.hash_value(r["r_regionkey"]), encoding.hash_value([r["r_name"], r["r_regionkey"]])) for r in db.table("region").collect()]
+    return db.spark.createDataFrame(rows, "name string, text string, number string, both string")
+
+
+@query("SELECT n_regionkey, list_sort(list(n_nationkey)) AS keys FROM nation GROUP BY n_regionkey")
+def queue_publish(db: Database) -> DataFrame:
+    waiting, got = queue.Queue(), {}
+    for r in db.table("nation").orderBy("n_nationkey").collect():
+        waiting.publish(str(r["n_regionkey"]), r["n_nationkey"])
+    waiting.drain(got.__setitem__)
+    return db.spark.createDataFrame([(int(k), v) for k, v in got.items()], "n_regionkey int, keys array<int>")
+
+
+@query("SELECT n_nationkey AS id, length(n_name) * 2 AS size FROM nation")
+def udf_batch(db: Database) -> DataFrame:
+    class Sizes(models.Model):
+        def predict(self, text):
+            return 2 * len(text)
+
+        def predict_batch(self, calls):
+            return [2 * len(args[0]) for args, _ in calls]
+
+    return Sizes("sizes", datatype="int").predict_in(db.table("nation"), "n_name", "size").select(F.col("n_nationkey").alias("id"), "size")
+
+
+@query("SELECT n_nationkey AS id, lower(n_name) AS low FROM nation")
+def udf_object(db: Database) -> DataFrame:
+    class Cased:
+        def low(self, text: str) -> str:
+            return text.lower()
+
+    return models.Model("cased", Cased(), "str", method="low").predict_in(db.table("nation"), "n_name", "low").select(F.col("n_nationkey").alias("id"), "low")
+
+
+@query("SELECT * FROM (VALUES ('one', 'singleton'), ('two', '*args'), ('named', '**kwargs'), ('both', '*args,**kwargs')) AS v(name, shape)")
+def udf_signature(db: Database) -> DataFrame:
+    shapes = {"one": lambda x: x, "two": lambda x, y: x, "named": lambda x=1, y=2: x, "both": lambda x, y=2: x}
+    return db.spark.createDataFrame([(n, models.signature(f)) for n, f in shapes.items()], "name string, shape string")
+
+
+@query("SELECT r_name AS question, concat('Facts: ', string_agg(n_name, ' ' ORDER BY n_name), ' ', r_name) AS answer FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def rag(db: Database) -> DataFrame:
+    facts = {r["r_name"]: r["facts"] for r in db.table("nation").join(db.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("facts")).collect()}
+    llm = models.LanguageModel("echo", lambda prompt: " ".join(prompt.split()))
+    return models.retrieval_model("rag", facts.get, llm, "Facts: {context} {query}").predict_in(db.table("region").select(F.col("r_name").alias("question")), "question", "answer")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS source, 2 * r_regionkey + 1 AS value FROM region")
+def cdc_internal(db: Database) -> DataFrame:
+    db.create_table("followed", {"x": "int"})
+    x = db.listen(listener.Listener("odd", db["followed"], "x", models.Model("odd", lambda x: 2 * x + 1, "int")))
+    db["followed"].insert(db.table("region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_regionkey").alias("x")))
+    return db.table(x.outputs).select(F.col("_source").alias("source"), F.col(x.outputs).alias("value"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c')) AS v(position, identifier)")
+def stream_graph(db: Database) -> DataFrame:
+    one = models.Model("one", lambda x: 1, "int")
+    made = [listener.Listener("a", db["region"], "r_name", one)]
+    for name in "bc":
+        made.append(listener.Listener(name, db[made[-1].outputs], made[-1].outputs, one))
+    other = listener.Listener("other", db["nation"], "n_name", one)
+    reached = listener.affected("region", [made[2], other, made[0], made[1]])
+    return db.spark.createDataFrame([(i, x.identifier) for i, x in enumerate(reached)], "position int, identifier string")
+
+
+@query("SELECT CAST(r_regionkey AS INT) AS hour, CASE WHEN r_regionkey IN (1, 3) THEN 1 ELSE 0 END AS runs FROM region")
+def cron_schedule(db: Database) -> DataFrame:
+    import datetime
+
+    every = cron.Schedule("0 1,3 * * *")
+    return db.spark.createDataFrame([(r["r_regionkey"], int(every.due(datetime.datetime(2026, 1, 5, r["r_regionkey"])))) for r in db.table("region").collect()], "hour int, runs int")
+
+
+@query("SELECT sha256(r_name) AS name, r_name AS data FROM region")
+def sink_blob(db: Database) -> DataFrame:
+    refs = [db.artifacts.put_bytes(r["r_name"].encode()) for r in db.table("region").collect()]
+    return db.spark.createDataFrame([(r.rsplit(":", 1)[-1], db.artifacts.get(r).decode()) for r in refs], "name string, data string")
 
 
 # --- native: what the query builder has no verbs for goes through the same entry point as SQL
