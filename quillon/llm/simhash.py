@@ -18,8 +18,9 @@ Equal fingerprints, or in `similar_groups` equal sets of shingles, are one node
 so exact copies make no pairs. Under one index
 key, sorted rows are compared as they stream by, and only a spanning forest of the links is
 emitted, the closest pairs first. A key with more than `crowd` fingerprints is cut into blocks;
-each pair of blocks is one row, so no task holds more than two of them. `similar_groups` compares
-again, and verifies all links, where links of a forest turn out not to be similar.
+each pair of blocks is one row, so no task holds more than two of them. Where links of a forest
+turn out not to be similar, `similar_groups` compares the sets of shingles of that group's texts
+themselves, in blocks as well, and so finds what the failed links displaced.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like
 any other; a row with null doc_id gets its fingerprint, joins no component and has a null
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import SPACE_BYTES, blocks, column_name, text_buffers, written
-from quillon.llm.components import components, spanning_links
+from quillon.llm.components import components, local_forest, spanning_links
 
 SEED = 42
 #: Fingerprints under one key that are compared as one block.
@@ -269,9 +270,6 @@ def lightest(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> Links:
 class Near:
     """Which rows of one key link, by differing bits: (pairs that link, bits)."""
 
-    #: Emit a forest of the links of a key, which connects what they all connect.
-    forest = True
-
     def __init__(self, max_bits: int):
         self.max_bits = max_bits
 
@@ -280,30 +278,6 @@ class Near:
         return bits <= self.max_bits, bits
 
 
-class NearApart(Near):
-    """Every link between fingerprints of different labels (the last word), each under one key
-    alone: the first of those where its ends meet."""
-
-    forest = False
-
-    def __init__(self, max_bits: int, cut: Segments):
-        super().__init__(max_bits)
-        self.cut = cut
-
-    def __call__(self, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, bits = super().__call__(key, x[..., :-1], y[..., :-1])
-        found &= x[..., -1] != y[..., -1]
-        at = np.nonzero(found)
-        x, y = (np.broadcast_to(z, (*found.shape, z.shape[-1]))[at] for z in (x, y))
-        # variants() names the key's segment and bit above its other bits.
-        name = np.broadcast_to(key, found.shape)[at].view(np.uint64) >> np.uint64(48)
-        segment, bit = (name >> np.uint64(6)).astype(np.int64), name & np.uint64(63)
-        differ = np.stack([np.bitwise_count((x[:, w] ^ y[:, w]) >> np.uint64(low) & np.uint64((1 << size) - 1)) for w, low, size in self.cut], axis=1)
-        first = (np.argmax(differ <= 1, axis=1) == segment) & ((differ[np.arange(len(name)), segment] == 1) | (bit == 0))
-        found[at] = first
-        return found, bits
-
-
 class NearSets(Near):
     """Sets of hashes, padded with zeros, of that Jaccard similarity."""
 
@@ -325,7 +299,7 @@ class NearSets(Near):
 
 
 def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near) -> Iterator[Links]:
-    """The links among rows that share a key; rows are sorted by key."""
+    """A forest of the links among rows that share a key; rows are sorted by key."""
     out: list[Links] = [(np.zeros(0, np.int64),) * 3]
     rows, d, held = np.arange(len(key)), 0, 0
     while len(rows):
@@ -336,15 +310,9 @@ def pairs_within(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, near: Near) -
         out.append((rep[rows[found]], rep[rows[found] + d], bits[found]))
         held += int(found.sum())
         if held > 1 << 18:
-            out = [tuple(np.concatenate(x) for x in zip(*out))]
-            if near.forest:
-                out = [lightest(*out[0])]
-                held = len(out[0][0])
-            else:
-                yield out.pop()
-                out, held = [(np.zeros(0, np.int64),) * 3], 0
-    links = tuple(np.concatenate(x) for x in zip(*out))
-    yield lightest(*links) if near.forest else links
+            out = [lightest(*(np.concatenate(x) for x in zip(*out)))]
+            held = len(out[0][0])
+    yield lightest(*(np.concatenate(x) for x in zip(*out)))
 
 
 def pairs_between(key: int, x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, near: Near) -> Iterator[Links]:
@@ -357,15 +325,10 @@ def pairs_between(key: int, x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.n
         p, q = np.nonzero(found)
         use = a[p + i] < b[q] if same else a[p + i] != b[q]
         p, q = p[use], q[use]
-        links = (a[p + i], b[q], bits[p, q])
-        if not near.forest:
-            yield links
-            continue
-        out.append(links)
+        out.append((a[p + i], b[q], bits[p, q]))
         if len(out) > 4:
             out = [lightest(*(np.concatenate(z) for z in zip(*out)))]
-    if near.forest:
-        yield lightest(*(np.concatenate(z) for z in zip(*out)))
+    yield lightest(*(np.concatenate(z) for z in zip(*out)))
 
 
 def compare(sorted_variants: DataFrame, words: int, near: Near, crowd: int) -> DataFrame:
@@ -465,11 +428,6 @@ def links_of(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crow
     return met(variants(distinct, cut, words), words, Near(max_bits), crowd)
 
 
-def links_apart(labelled: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int) -> DataFrame:
-    """All links (a, b, bits) of representatives with different labels, which are the last word."""
-    return met(variants(labelled, cut, words + 1), words + 1, NearApart(max_bits, cut), crowd)
-
-
 def distinct_nodes(prints: DataFrame, node: list[str], other: list[str] = []) -> DataFrame:
     """One row for each value of the columns `node`, with its least doc_id as rep and what that
     row has in the columns `other`."""
@@ -547,21 +505,8 @@ class IdFilter:
 def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links (a, b) whose texts' sets of shingles are that similar.
 
-    Texts don't move: a filter of the linked ids goes to them, and the sets of those that pass,
-    as hashes of 8 bytes a shingle, come to the links.
+    Texts don't move: the sets of the linked ones, as hashes of 8 bytes a shingle, come to the links.
     """
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(ends))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            use = np.flatnonzero(sent.value.may_hold(batch.column("id").to_numpy()))
-            batch = batch.take(pa.array(use))
-            ids = batch.column("id")
-            raw, offsets = text_buffers(batch.column("text"))
-            for i, j in blocks(offsets):
-                rows = [x.tobytes() for x in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(rows, pa.binary())], ["id", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -573,19 +518,37 @@ def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                 keep.append(not either or both >= similarity * either - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    made = written(texts.mapInArrow(sets, "id long, shingles binary"))
+    made = sets_of(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))), docs, shingle)
     left, right = (made.select(F.col("id").alias(c), F.col("shingles").alias(n)).hint("merge") for c, n in (("a", "x"), ("b", "y")))
     return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """id, shingles of the documents whose ids are in the column `wanted`, and of a few others: a
+    filter of the ids goes to the texts, which stay where they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(wanted))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = np.flatnonzero(sent.value.may_hold(batch.column("id").to_numpy()))
+            batch = batch.take(pa.array(use))
+            ids = batch.column("id")
+            raw, offsets = text_buffers(batch.column("text"))
+            for i, j in blocks(offsets):
+                rows = [x.tobytes() for x in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(rows, pa.binary())], ["id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    return written(texts.mapInArrow(sets, "id long, shingles binary"))
+
+
 #: Rounds in which each component has its closest link verified, before all that are left are.
 ROUNDS = 2
 
 
 def placed(links: DataFrame, good: DataFrame | None) -> DataFrame:
-    """The links between different components x and y of the links `good`; with none of those each
-    id is its own component."""
+    """The links between different components x and y of the links `good`; without those each id is
+    its own component."""
     if good is None:
         return links.select("a", "b", "bits", F.col("a").alias("x"), F.col("b").alias("y"))
     label = components(good)
@@ -594,14 +557,14 @@ def placed(links: DataFrame, good: DataFrame | None) -> DataFrame:
     return written(found.filter("x <> y"))
 
 
-def connecting(links: DataFrame, docs: DataFrame, shingle: int, similarity: float, good: DataFrame | None = None) -> DataFrame:
-    """Verified links that connect, with those in `good`, what all verified links would connect.
+def connecting(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links that connect what the verified ones of `links` connect.
 
     Of a large group of near copies most links are superfluous. So the closest link of each
     component is verified first, and links inside of what is connected then are left out: they
     couldn't change a component, whether they hold or not.
     """
-    left = placed(links, good)
+    good, left = None, placed(links, None)
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             ends = left.select(F.col("x").alias("node"), "bits", "a", "b").unionByName(left.select(F.col("y").alias("node"), "bits", "a", "b"))
@@ -625,25 +588,97 @@ def in_order(links: DataFrame) -> DataFrame:
     return written(links.filter("a <> b").select(low, high, "bits").groupBy("a", "b").agg(F.min("bits").alias("bits")))
 
 
+def set_links(p: list[np.ndarray], a: np.ndarray, la: np.ndarray, q: list[np.ndarray], b: np.ndarray, lb: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between two blocks of sets with ids a, b and labels la, lb, or inside one
+    (if the ids are equal): pairs of that Jaccard similarity whose labels differ."""
+    size = np.array([len(x) for x in q])
+    flat, begin = np.concatenate([np.zeros(0, np.uint64), *q]), np.cumsum(size) - size
+    names, flat = np.unique(flat, return_inverse=True)
+    mark, same = np.zeros(len(names), np.int32), np.array_equal(a, b)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for i, own in enumerate(p):
+        if not len(own) or not len(names) or (lb == la[i]).all():
+            continue
+        at = np.searchsorted(names, own)
+        at = at[names[np.minimum(at, len(names) - 1)] == own]
+        mark[at] = 1
+        # Sets aren't empty, so every one begins at its own place.
+        both = np.add.reduceat(mark[flat], begin)
+        mark[at] = 0
+        near = (both >= similarity * (len(own) + size - both) - 1e-12) & (lb != la[i])
+        if same:
+            near &= np.arange(len(q)) > i
+        j = np.flatnonzero(near)
+        out.append((np.full(len(j), a[i]), b[j]))
+        if len(out) > 64:
+            out = [local_forest(*(np.concatenate(x) for x in zip(*out)))]
+    return local_forest(*(np.concatenate(x) for x in zip(*out)))
+
+
+#: Bytes of the sets in a block, about, and sets in it at most.
+SET_BYTES, SETS = 1 << 20, 1024
+
+
+def all_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes (id, component, label) of one component with different labels,
+    verified: a forest of them for each pair of blocks.
+
+    Sets of a size class meet with those of the same and the next one, as others are too unlike.
+    Blocks hold a bounded number of sets, and those that have the component's commonest label have
+    blocks of their own, which needn't be compared with each other.
+    """
+    step = math.log(1 / similarity) + 1e-9 if similarity < 1 else 1.0
+    top = nodes.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
+    made = sets_of(nodes.select("id"), docs, shingle).filter("octet_length(shingles) > 0")
+    rows = made.hint("merge").join(nodes, "id").join(top, "component")
+    rows = rows.withColumn("kind", (F.col("label") == F.col("top")).cast("int")).withColumn("class", F.floor(F.log(F.octet_length("shingles") / 8) / step).cast("int"))
+    rows = written(rows.select("component", "kind", "class", "id", "label", "shingles"))
+    block = ["component", "kind", "class"]
+    each = F.greatest(F.lit(1.0), F.least(F.lit(float(SETS)), F.lit(float(SET_BYTES)) / F.max(F.octet_length("shingles"))))
+    counts = rows.groupBy(*block).agg(F.ceil(F.count("*") / each).alias("salts"))
+    salted = rows.join(counts, block).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    # Dealt by salt too, or Spark would leave all blocks of a class in the task of its count.
+    salted = salted.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block, "salt")
+    # `each` bounds what a group collects.
+    grouped = salted.groupBy(*block, "salt").agg(F.collect_list(F.struct("id", "label", "shingles")).alias("sets"))
+    grouped = written(grouped)
+    keys = grouped.select(*block, "salt")
+    left = keys.select("component", *(F.col(c).alias(f"{c}1") for c in (*block[1:], "salt")))
+    right = keys.select("component", *(F.col(c).alias(f"{c}2") for c in (*block[1:], "salt"))).withColumn("class1", F.explode(F.array(F.col("class2"), F.col("class2") - 1)))
+    first, second = F.struct("kind1", "salt1"), F.struct("kind2", "salt2")
+    pairs = left.join(right, ["component", "class1"]).filter(((F.col("class1") < F.col("class2")) | (first <= second)) & ~((F.col("kind1") == 1) & (F.col("kind2") == 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = [batch.column(f"sets{k}")[row].values for k in (1, 2)]
+                ids, labels = ([np.asarray(x.field(f)) for x in own] for f in ("id", "label"))
+                sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in x.field("shingles")] for x in own]
+                found = set_links(sets[0], ids[0], labels[0], sets[1], ids[1], labels[1], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+    for k in (1, 2):
+        blocks_ = grouped.select("component", *(F.col(c).alias(f"{c}{k}") for c in (*block[1:], "salt")), F.col("sets").alias(f"sets{k}")).hint("merge")
+        pairs = pairs.join(blocks_, ["component", f"kind{k}", f"class{k}", f"salt{k}"])
+    return written(pairs.select("sets1", "sets2").mapInArrow(run, "a long, b long"))
+
+
 def all_connecting(distinct: DataFrame, cut: Segments, words: int, max_bits: int, crowd: int, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Verified links that connect what the verified ones among all candidates would connect.
 
     A forest of each key's candidates comes first. Where all of a group of candidates is connected
-    once they are verified, its other candidates are superfluous. Fingerprints of the groups that
-    aren't are compared again, and every candidate between what isn't connected is verified.
+    once they are verified, its other candidates are superfluous. In the groups that aren't, sets
+    themselves are compared.
     """
     first = in_order(links_of(distinct, cut, words, max_bits, crowd))
     good = connecting(first, docs, shingle, similarity)
     label = components(good).withColumnRenamed("component", "label")
     nodes = written(components(first).join(label, "id", "left").select("id", "component", F.coalesce("label", "id").alias("label")))
     broken = nodes.groupBy("component").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("component")
-    apart = nodes.join(broken, "component").select(F.col("id").alias("rep"), F.col("label").alias(f"f{words}"))
-    again = written(distinct.join(apart, "rep").select(*names(words + 1), "rep"))
-    if again.isEmpty():
+    apart = written(nodes.join(broken, "component"))
+    if apart.isEmpty():
         return good
-    # What the first links left between components is refuted.
-    rest = in_order(links_apart(again, cut, words, max_bits, crowd)).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return connecting(written(rest), docs, shingle, similarity, good)
+    return good.unionByName(all_links(apart, docs, shingle, similarity))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
