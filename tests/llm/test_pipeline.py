@@ -59,3 +59,24 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         docs = after
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == after.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_dedup", "decontaminate", "packing"]
+
+
+def test_edges_of_the_stages(spark, tmp_path):
+    rng = random.Random(2)
+    corpus(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = docs.withColumnRenamed("source", "_statistics").withColumnRenamed("n_chars", "_quality")
+    own = clean_text(rng, 60)
+    odd = spark.createDataFrame([(None, own, "en", "s", 1), (None, None, None, None, None), (3, own, "en", "s", 1), (3, own, "en", "s", 1), (2, own + " more words", None, "s", 1)], kept.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.collect() == []
+        out = stage(spark, kept.unionByName(odd), str(tmp_path))
+        if name != "packing":
+            assert out.columns == kept.columns and empty.columns == docs.columns
+        assert all(f.__doc__ for _, f in corpus_pipeline.STAGES)
+        found = [r["doc_id"] for r in out.filter("doc_id is null or doc_id = 3").collect()]
+        # Whether a null text is good follows from the labels; it has no language.
+        assert found.count(None) in {"quality": (1, 2), "language": (1,)}.get(name, (2,))
+        if name == "near_dedup":
+            assert out.filter("doc_id = 3").count() == 2  # the corpus' own text of that id, and the repeated one
