@@ -82,6 +82,15 @@ class Database:
     def drop_table(self, name: str) -> None:
         self.store.drop(name)
 
+    def drop(self, force: bool = False) -> None:
+        """Drop all tables, outputs and components, and forget listeners and indexes. Attached
+        sources and artifacts stay where they are. It needs force=True, as nothing brings them back."""
+        if not force:
+            raise ValueError("drop() deletes all tables; say force=True if that is wanted")
+        for name in self.store.names():
+            self.store.drop(name)
+        self.listeners, self.indexes, self._catalog = [], {}, None
+
     def list_tables(self) -> list[str]:
         return [n for n in self.store.names() if not n.startswith(("_components", "_parents", "_artifacts", "_jobs", "_deployments", "_done__"))]
 

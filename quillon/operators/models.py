@@ -241,21 +241,31 @@ class ApiModel(Model):
 
 
 class LanguageModel(Model):
-    """Text from text: the prompt template around the input, and a function that generates. With
-    errors="empty" a failing call gives an empty text instead of ending the job."""
-
-    def __init__(self, identifier: str, generate: Callable[[str], str], prompt: str = "{input}", threads: int = 0, errors: str = "raise"):
-        super().__init__(identifier, datatype="str", threads=threads)
-        self.generate, self.prompt, self.errors = generate, prompt, errors
-
-    def predict(self, text: Any, context: list[str] | None = None) -> str:
-        prompt = self.messages(text) if isinstance(text, list) else format_prompt(text, self.prompt, context)
+    """Text from text or from a list of messages; other input is an error, and a null gives a null.
+    The prompt template is put around the input, and a function generates: one text, or with
+    several=True a list of them, of which a single one stands for itself. With errors="empty" a
+    failing call gives an empty text instead of ending the job."""
+
+    def __init__(self, identifier: str, generate: Callable[[str], Any], prompt: str = "{input}", threads: int = 0, errors: str = "raise", several: bool = False):
+        super().__init__(identifier, datatype="json" if several else "str", threads=threads)
+        self.generate, self.prompt, self.errors, self.several = generate, prompt, errors, several
+
+    def predict(self, text: Any, context: list[str] | None = None) -> Any:
+        if text is None:
+            return None
+        if isinstance(text, list) and all(isinstance(t, dict) for t in text):
+            prompt = self.messages(text)
+        elif isinstance(text, str):
+            prompt = format_prompt(text, self.prompt, context)
+        else:
+            raise ValueError(f"{self.identifier} takes a text or a list of messages, not {type(text).__name__}")
         try:
-            return self.generate(prompt)
+            out = self.generate(prompt)
         except Exception:
             if self.errors == "empty":
                 return ""
             raise
+        return out[0] if self.several and isinstance(out, list) and len(out) == 1 else out
 
     @staticmethod
     def messages(turns: list) -> str:
@@ -265,23 +275,32 @@ class LanguageModel(Model):
 
 class EmbeddingModel(Model):
     """Vectors from texts in batches: embed(texts) returns one vector for each, in any order if it
-    returns (number, vector) pairs."""
+    returns (number, vector) pairs. Each batch is tried `tries` times. Without dimensions one text
+    is embedded to see how many there are."""
 
-    def __init__(self, identifier: str, embed: Callable[[list[str]], list], dimensions: int, batch: int = 100):
-        super().__init__(identifier, datatype=f"vector[float:{dimensions}]")
-        self.embed, self.dimensions, self.batch = embed, dimensions, batch
+    def __init__(self, identifier: str, embed: Callable[[list[str]], list], dimensions: int | None = None, batch: int = 100, tries: int = 3, postprocess: Callable[[list[float]], list[float]] | None = None):
+        super().__init__(identifier)
+        self.embed, self.batch, self.tries, self.postprocess = embed, batch, tries, postprocess
+        self.dimensions = len(self.predict("dimensions")) if dimensions is None else dimensions
+        self.datatype = f"vector[float:{self.dimensions}]"
 
     def predict(self, text: str) -> list[float]:
         return self.predict_batch([([text], {})])[0]
 
     def predict_batch(self, calls: list[tuple[list, dict]]) -> list[Any]:
+        from quillon.operators.retries import retried
+
         texts = [(args or list(kwargs.values()))[0] for args, kwargs in calls]
         out: list[Any] = []
         for i in range(0, len(texts), self.batch):
-            got = self.embed(texts[i : i + self.batch])
+            part = texts[i : i + self.batch]
+            got = retried(lambda part=part: self.embed(part), tries=self.tries)
+            if len(got) != len(part):
+                raise ValueError(f"{self.identifier} gave {len(got)} vectors for {len(part)} texts")
             if got and isinstance(got[0], tuple):
                 got = [v for _, v in sorted(got, key=lambda x: x[0])]
-            out += [[float(x) for x in v] for v in got]
+            vectors = [[float(x) for x in v] for v in got]
+            out += [[float(x) for x in self.postprocess(v)] for v in vectors] if self.postprocess else vectors
         return out
 
 

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.models import Metric, Model
+
 FOLD = "_fold"
 
 
@@ -77,8 +79,55 @@ class LocalTrainer:
     limit: int = 100_000
 
     def fit(self, rows: DataFrame, x: str, y: str, key: str) -> Any:
-        chosen = rows.select(x, y, key).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(self.limit).collect()
-        return self.fit_function([r[x] for r in chosen], [r[y] for r in chosen])
+        own = rows.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(key).alias("key"))
+        chosen = own.orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(self.limit).collect()
+        return self.fit_function([r["x"] for r in chosen], [r["y"] for r in chosen])
+
+
+class Estimator(Model):
+    """An object of a Python library with fit(x, y) and predict(x) on lists, as a model. Each Arrow
+    batch is one call of the object's predict."""
+
+    def __init__(
+        self, identifier: str, estimator: Any, preprocess: Callable | None = None, postprocess: Callable | None = None, y_preprocess: Callable | None = None,
+        datatype: str = "float", limit: int = 100_000, fit_options: dict[str, Any] | None = None, predict_options: dict[str, Any] | None = None,
+    ):
+        super().__init__(identifier, datatype=datatype)
+        self.estimator, self.preprocess, self.postprocess, self.y_preprocess = estimator, preprocess, postprocess, y_preprocess
+        self.limit, self.fit_options, self.predict_options = limit, fit_options or {}, predict_options or {}
+
+    def predict(self, x: Any) -> Any:
+        return self.predict_batch([([x], {})])[0]
+
+    def predict_batch(self, calls: list[tuple[list, dict]]) -> list[Any]:
+        if not calls:
+            return []
+        given = [self.preprocess(*args, **kwargs) if self.preprocess else (args or list(kwargs.values()))[0] for args, kwargs in calls]
+        found = list(self.estimator.predict(given, **self.predict_options))
+        return [self.postprocess(y) for y in found] if self.postprocess else found
+
+    def fit(self, rows: DataFrame, x: str, key: str, y: str | None = None) -> Estimator:
+        """Fit on the rows of the training fold, if rows have folds, `limit` of them at most; without
+        y by x alone. The version goes up."""
+
+        def train(xs: list, ys: list) -> None:
+            xs = [self.preprocess(v) for v in xs] if self.preprocess else xs
+            ys = [self.y_preprocess(v) for v in ys] if self.y_preprocess else ys
+            self.estimator.fit(*([xs] if y is None else [xs, ys]), **self.fit_options)
+
+        LocalTrainer(train, self.limit).fit(in_fold(rows, "train" if FOLD in rows.columns else None), x, y or x, key)
+        self.version += 1
+        return self
+
+
+def fit_and_validate(model: Estimator, rows: DataFrame, x: str, y: str, key: str, metrics: Sequence[Metric], valid: float = 0.1) -> dict[str, float]:
+    """Fit on the training fold, then append the validation fold's metrics to the model; rows
+    without folds get them by their key."""
+    rows = rows if FOLD in rows.columns else rows.withColumn(FOLD, fold_column(key, valid))
+    model.fit(rows, x, key, y)
+    found = model.validate(in_fold(rows, "valid"), x, y, metrics)
+    model.append_metrics(found)
+    return found
 
 
 def steps(train: Callable[[int], dict[str, float]], history: History, most: int, save: Callable[[int], None] | None = None) -> History:

@@ -551,6 +551,23 @@ def ml_fit(db: Database) -> DataFrame:
     return db.spark.createDataFrame([(round(float(fitted.coefficients[0]), 3), round(float(fitted.intercept), 1))], "slope double, intercept double")
 
 
+class Means:
+    """The mean target of each value: what an estimator of a Python library looks like."""
+
+    def fit(self, x: list, y: list) -> None:
+        self.means = {v: sum(t for w, t in zip(x, y) if w == v) / x.count(v) for v in set(x)}
+
+    def predict(self, x: list) -> list:
+        return [self.means[v] for v in x]
+
+
+@query("SELECT n_nationkey, avg(n_nationkey) OVER (PARTITION BY n_regionkey) AS prediction FROM nation")
+def ml_sklearn(db: Database) -> DataFrame:
+    rows = db.table("nation").select("n_nationkey", "n_regionkey")
+    model = training.Estimator("means", Means(), datatype="float").fit(rows, "n_regionkey", "n_nationkey", "n_nationkey")
+    return model.predict_in(rows, "n_regionkey").select("n_nationkey", F.col("prediction").cast("double").alias("prediction"))
+
+
 # --- encoded values
 
 
@@ -692,6 +709,27 @@ def cdc_poll(db: Database) -> DataFrame:
     return events.new_rows(rows, rows.filter("event_id % 3 <> 0"), "event_id")
 
 
+@query(
+    "SELECT CAST(event_id AS VARCHAR) AS id, CASE event_id % 5 WHEN 0 THEN 'insert' WHEN 3 THEN 'delete' ELSE 'update' END AS type "
+    "FROM events WHERE event_id % 5 <> 4 AND event_id % 7 <> 0"
+)
+def cdc_mongo(db: Database) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("insert", "update", "replace", "delete", "drop")])
+    name = F.when(F.col("event_id") % 7 != 0, F.col("event_id"))
+    records = db.table("events").select(F.get(kinds, (F.col("event_id") % 5).cast("int")).alias("operationType"), F.struct(name.alias("_id")).alias("documentKey"))
+    return events.from_change_records(records)
+
+
+@query(
+    "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 1 THEN 'delete' WHEN event_id % 3 = 0 THEN 'update' ELSE 'insert' END AS type "
+    "FROM events WHERE NOT (event_id % 2 = 1 AND event_id % 3 = 0)"
+)
+def cdc_snowflake(db: Database) -> DataFrame:
+    action = F.when(F.col("event_id") % 2 == 0, "INSERT").otherwise("DELETE")
+    versions = db.table("events").select("event_id", action.alias("METADATA$ACTION"), (F.col("event_id") % 3 == 0).alias("METADATA$ISUPDATE"))
+    return events.from_row_versions(versions, "event_id")
+
+
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def event_latest(db: Database) -> DataFrame:
     return events.latest(db.table("events").select("user_id", "event_id", "event_type"), "user_id", "event_id")

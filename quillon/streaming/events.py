@@ -45,6 +45,25 @@ def new_rows(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return rows.join(seen.select(key), key, "left_anti")
 
 
+def from_change_records(records: DataFrame, op: str = "operationType", key: str = "documentKey._id") -> DataFrame:
+    """id and type of a document store's change records, read or streamed. A replaced document is an
+    update; records without a key, and those of whole collections, are left out."""
+    kind = F.when(F.col(op) == "replace", str(Event.UPDATE)).when(F.col(op).isin("insert", "update", "delete"), F.col(op))
+    return records.select(F.col(key).cast("string").alias("id"), kind.alias("type")).filter("id is not null and type is not null")
+
+
+def from_row_versions(rows: DataFrame, key: str, action: str = "METADATA$ACTION", update: str = "METADATA$ISUPDATE", appends: bool = False) -> DataFrame:
+    """id and type of a warehouse's row versions, read or streamed. An update is a deleted and an
+    inserted version, of which the inserted one counts. appends: inserted versions are all that is
+    read, each as an insert."""
+    inserted, changed = F.col(f"`{action}`") == "INSERT", F.coalesce(F.col(f"`{update}`").cast("boolean"), F.lit(False))
+    if appends:
+        kind = F.when(inserted, str(Event.INSERT))
+    else:
+        kind = F.when(inserted & changed, str(Event.UPDATE)).when(inserted, str(Event.INSERT)).when(~changed, str(Event.DELETE))
+    return rows.select(F.col(key).cast("string").alias("id"), kind.alias("type")).filter("id is not null and type is not null")
+
+
 def differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """key and type of the events that turn one state of a table into another."""
     names = [c for c in new.columns if c != key]

@@ -141,3 +141,61 @@ def test_retries():
     assert reconnecting(call, lambda: state.update(ok=True)) == 1
     with pytest.raises(RuntimeError):
         reconnecting(lambda: (_ for _ in ()).throw(RuntimeError("other")), lambda: None)
+
+
+def test_language_model_input(rows):
+    model = models.LanguageModel("echo", str.upper)
+    assert model.predict("a") == "A" and model.predict(None) is None
+    assert model.predict([{"role": "user", "content": "x"}]) == "USER: X"
+    for wrong in (3, ["a"], {"role": "user"}):
+        with pytest.raises(ValueError, match="takes a text"):
+            model.predict(wrong)
+
+
+def test_language_model_outputs(rows):
+    several = models.LanguageModel("twice", lambda p: [p, p + "!"], several=True)
+    assert several.predict("a") == ["a", "a!"]
+    assert several.predict_in(rows.filter("x = 1"), "s", "out").first()["out"] == '["t1", "t1!"]'
+    assert models.LanguageModel("one", lambda p: [p], several=True).predict("a") == "a"
+
+
+def test_embedding_model_tries_and_probes():
+    asked = []
+
+    def embed(texts):
+        asked.append(len(texts))
+        if len(asked) == 2:
+            raise OSError("busy")
+        return [(i, [float(len(t)), i]) for i, t in reversed(list(enumerate(texts)))]
+
+    model = models.EmbeddingModel("e", embed, batch=2, postprocess=lambda v: [v[0] / 2, v[1]])
+    assert model.dimensions == 2 and model.output == "vector[float:2]"
+    assert model.predict_batch([([t], {}) for t in ("a", "bb", "ccc")]) == [[0.5, 0.0], [1.0, 1.0], [1.5, 0.0]]
+    assert asked == [1, 2, 2, 1]
+    with pytest.raises(ValueError, match="gave 1 vectors for 2"):
+        models.EmbeddingModel("short", lambda t: [[0.0]], 1).predict_batch([(["a"], {}), (["b"], {})])
+
+
+class Line:
+    """Least squares through the origin."""
+
+    def fit(self, x, y=None, scale=1.0):
+        self.slope = scale if y is None else scale * sum(a * b for a, b in zip(x, y)) / sum(a * a for a in x)
+
+    def predict(self, x, shift=0.0):
+        return [self.slope * v + shift for v in x]
+
+
+def test_estimator(rows):
+    model = training.Estimator("line", Line(), preprocess=lambda v: v + 1, postprocess=lambda v: v * 10, y_preprocess=lambda v: v + 1, predict_options={"shift": 1.0})
+    assert model.fit(rows, "x", "x", "y") is model and model.version == 1
+    assert model.predict(2) == 40.0 and model.predict_batch([]) == []
+    assert [r["p"] for r in model.predict_in(rows, "x", "p").orderBy("x").collect()] == [10.0 * (i + 2) for i in range(6)]
+    assert training.Estimator("alone", Line(), fit_options={"scale": 3.0}).fit(rows, "x", "x").predict(2) == 6.0
+
+
+def test_estimator_folds(rows):
+    folded = rows.withColumn("y", F.when(F.col("x") < 4, F.col("x") * 2.0).otherwise(F.col("x") * 2.0 + 1)).withColumn(training.FOLD, F.when(F.col("x") < 4, "train").otherwise("valid"))
+    model = training.Estimator("line", Line())
+    assert training.fit_and_validate(model, folded, "x", "y", "x", [models.MEAN_SQUARED_ERROR]) == {"mse": 1.0}
+    assert model.estimator.slope == 2.0 and model.metrics == {"mse": [1.0]}
