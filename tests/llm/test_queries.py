@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from pathlib import Path
 
@@ -82,6 +83,21 @@ def test_pages(results, tables):
     assert all(r["n_chars"] == len(r["text"]) for r in results["op5"].collect())
 
 
+def test_hosts_paths_and_rules(results, tables):
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    rows = {r["page_id"]: r for r in results["op9"].collect()}
+    assert len(rows) == len(tables["pages"])
+    for name, url, _ in tables["pages"]:
+        rest = (url or "").partition("://")[2]
+        given = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(given) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in given)
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, None))
+        assert tuple(rows[name])[:4] == (name, host, path, rule)
+        assert rows[name]["verdict"] == verdict if rule else rows[name]["verdict"] in ("allow", "block")
+
+
 @pytest.mark.parametrize(("name", "column", "mod", "rest", "least"), [("op8", 1, 3, 1, 0.9), ("op4", 2, 4, 2, 0.5)])
 def test_classifiers(results, tables, name, column, mod, rest, least):
     labels = {r[0]: r[column] for r in tables["labels"]}
