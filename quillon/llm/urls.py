@@ -3,8 +3,8 @@
 A rule names a host and a path prefix; it fits the host, its subdomains, and every path that
 begins so; of several the longest wins. What no rule judges goes by its template. Templates
 start as the path's segments with their variable parts (numbers, hashes, dates) as wildcards.
-Then, depth by depth, each node's rare children become one wildcard where there are many, and
-a child merges with the largest one of its kind where neither what follows below nor its labels
+Then, at each depth where nodes branch, however deep, each node's rare children become one wildcard
+where there are many, and a child merges with the largest one of its kind where neither what follows below nor its labels
 tell them apart (two chi-squared tests, depth and width). A merged branch bears the larger one's
 name. A template is rejected if the smoothed share of blocked among its labelled URLs is high
 enough; URLs without a label smooth it towards even, a tenth of an even one each, so a template
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from quillon.llm.common import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Segments that a template tells apart, one round each; what lies deeper is one wildcard.
-DEPTH = 16
 #: Children of a node beyond which the rare ones are one wildcard, and how rare those are.
 CHILDREN, RARE = 12, 0.05
 #: Chi-squared of one and of three degrees of freedom at 5 %: below, two branches are alike.
@@ -91,10 +89,9 @@ def verdict_column(rules: list[Rule], chosen: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The path's segments with variable parts as wildcards, DEPTH of them at most."""
+    """The path's segments, all of them, with variable parts as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{hash}").when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), "{date}").when(F.length(s) > 40, "{long}").otherwise(F.regexp_replace(s, r"\d+", "{n}")))
-    return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("{more}")))).otherwise(general)
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{hash}").when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), "{date}").when(F.length(s) > 40, "{long}").otherwise(F.regexp_replace(s, r"\d+", "{n}")))
 
 
 def _chi2(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -142,7 +139,7 @@ def generalised(counts: DataFrame, depth: int) -> DataFrame:
     merged = F.when(literal & rare, "*").when(literal & alike, F.col("top.child")).otherwise(F.col("child"))
     names = both.select("host", "node", "child", merged.alias("merged")).filter("merged <> child")
     named = rows.join(names, ["host", "node", "child"], "left")
-    whole_path = F.when(F.col("merged").isNull(), F.col("segs")).otherwise(F.concat(F.slice("segs", 1, depth - 1), F.array("merged"), F.slice("segs", depth + 1, DEPTH + 1)))
+    whole_path = F.when(F.col("merged").isNull(), F.col("segs")).otherwise(F.concat(F.slice("segs", 1, depth - 1), F.array("merged"), F.slice("segs", F.lit(depth + 1), F.size("segs"))))
     return named.select("host", "first", whole_path.alias("segs"), "n", "block", "allow")
 
 
@@ -152,15 +149,27 @@ def _pair(a: Column, b: Column, n: Column, m: Column) -> Column:
     return F.coalesce(F.try_divide((a - n * share) * (a - n * share), n * share), F.lit(0.0)) + F.coalesce(F.try_divide((b - m * share) * (b - m * share), m * share), F.lit(0.0))
 
 
+def next_branching(counts: DataFrame, depth: int) -> int | None:
+    """The least depth beyond this one at which some node has several children; None if there is none.
+    Where each node has one child nothing can merge."""
+    below = F.explode(F.sequence(F.lit(depth + 1), F.size("segs"))).alias("depth")
+    rows = counts.filter(F.size("segs") > depth).select("host", "segs", below)
+    node = F.xxhash64("host", "depth", F.slice("segs", F.lit(1), F.col("depth") - 1)).alias("node")
+    child = F.xxhash64(F.get("segs", F.col("depth") - 1)).alias("child")
+    nodes = rows.select("depth", node, child).groupBy("depth", "node").agg(F.min("child").alias("least"), F.max("child").alias("most"))
+    return nodes.filter("least <> most").agg(F.min("depth")).first()[0]
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """host, first, template, purity of urls (host, path, label): `first` is the template before
     generalising, by which URLs find theirs."""
     first = F.array_join(segments(F.col("path")), "/")
     counts = urls.select("host", first.alias("first"), "label").groupBy("host", "first").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("block"), F.count_if(F.col("label") == "allow").alias("allow"))
     counts = written(counts.withColumn("segs", F.filter(F.split("first", "/"), lambda s: s != "")))
-    deepest = counts.agg(F.max(F.size("segs"))).first()[0] or 0
-    for depth in range(1, deepest + 1):
+    depth = next_branching(counts, 0)
+    while depth is not None:
         counts = written(generalised(counts, depth))
+        depth = next_branching(counts, depth)
     template = F.array_join("segs", "/").alias("template")
     keyed = counts.select("host", "first", template, "n", "block", "allow")
     sums = keyed.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum("allow").alias("allow"))

@@ -59,7 +59,22 @@ def test_segments(spark):
     row = spark.createDataFrame([("/a/2020-01-02//7x/0123456789abcdef0123/b/c/d",)], "p string").select(urls.segments(F.col("p")).alias("s")).first()
     assert row["s"] == ["a", "{date}", "{n}x", "{hash}", "b", "c", "d"]
     deep = spark.createDataFrame([("/x" * 40,)], "p string").select(urls.segments(F.col("p")).alias("s")).first()
-    assert deep["s"] == ["x"] * urls.DEPTH + ["{more}"]
+    assert deep["s"] == ["x"] * 40
+
+
+def test_branches_at_any_depth(spark, monkeypatch):
+    """Branches of one path that part at its 201st segment get templates and verdicts of their own,
+    in one round for each depth at which nodes branch."""
+    depths = []
+    plain = urls.generalised
+    monkeypatch.setattr(urls, "generalised", lambda counts, depth: depths.append(depth) or plain(counts, depth))
+    deep = "/x" * 200
+    values = [(f"http://h.com{deep}/bad/{i}", "block" if i % 2 else None) for i in range(40)] + [(f"http://h.com{deep}/good/{i}", "allow" if i % 2 else None) for i in range(40)]
+    rows = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(values)], "page_id long, url string, label string")
+    got = {r["page_id"]: r for r in urls.judge(rows, [], "label").collect()}
+    assert [got[i]["verdict"] for i in range(80)] == ["block"] * 40 + ["allow"] * 40
+    assert {got[i]["template"] for i in range(40)} == {"x/" * 200 + "bad/{n}"}
+    assert depths == [201]
 
 
 def test_templates_reject_what_no_rule_names(spark):
