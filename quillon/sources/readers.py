@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import itertools
 from collections.abc import Callable, Iterable
 from urllib.parse import parse_qsl, urlsplit
 
@@ -29,19 +30,23 @@ FORMATS = ("parquet", "orc", "csv", "json", "avro", "text")
 
 
 def jdbc_options(uri: str, table: str, column: str | None = None, partitions: int = 1, bounds: tuple | None = None) -> dict[str, str]:
-    """Options of spark.read.format("jdbc") for a URI. With a column and bounds the table is read
-    in so many ranges at once; without them it is one task, however large."""
+    """Options of spark.read.format("jdbc") for a URI; one that begins with jdbc: is passed on as it
+    is, to the driver that knows it. With a column and bounds the table is read in so many ranges at
+    once; without them it is one task, however large."""
     scheme = urlsplit(uri).scheme.split("+")[0]
-    if scheme not in JDBC:
-        raise ValueError(f"no JDBC source for {scheme!r}")
     parts = urlsplit(uri)
-    if scheme in ("sqlite", "duckdb"):
-        url = f"jdbc:{scheme}:{(parts.netloc + parts.path)}"
+    out = {"dbtable": table, "fetchsize": "10000"}
+    if scheme == "jdbc":
+        out["url"] = uri
+    elif scheme not in JDBC:
+        raise ValueError(f"no JDBC source for {scheme!r}")
+    elif scheme in ("sqlite", "duckdb"):
+        out |= {"url": f"jdbc:{scheme}:{(parts.netloc + parts.path)}", "driver": JDBC[scheme]}
     else:
         place = (parts.hostname or "") + (f":{parts.port}" if parts.port else "")
         names = {"postgres": "postgresql", "mssql": "sqlserver"}
         url = f"jdbc:{names.get(scheme, scheme)}://{place}{parts.path}" + (f"?{parts.query}" if parts.query else "")
-    out = {"url": url, "driver": JDBC[scheme], "dbtable": table, "fetchsize": "10000"}
+        out |= {"url": url, "driver": JDBC[scheme]}
     if parts.username:
         out |= {"user": parts.username, "password": parts.password or ""}
     if column is not None:
@@ -55,14 +60,15 @@ def read_uri(spark: SparkSession, uri: str, table: str | None = None, **ranges)
     """Rows of a table behind a URI: a database, a document store, or files of a format
     (`parquet:///path`). Filters and columns are pushed down by Spark's sources."""
     scheme = urlsplit(uri).scheme.split("+")[0]
-    if scheme in JDBC:
+    if scheme in JDBC or scheme == "jdbc":
         return spark.read.format("jdbc").options(**jdbc_options(uri, table or "", **ranges)).load()
     if scheme in CONNECTORS:
         parts = urlsplit(uri)
         return spark.read.format(CONNECTORS[scheme]).options(**{"connection.uri": uri, "database": parts.path.strip("/"), "collection": table or ""} | dict(parse_qsl(parts.query))).load()
     if scheme == "redis":
         spark.dataSource.register(KeyedSource)
-        return spark.read.format("quillon-keyed").option("uri", uri).option("pattern", f"{table}:*").load()
+        # The store may name a key more than once while it goes through its keys.
+        return spark.read.format("quillon-keyed").option("uri", uri).option("pattern", f"{table}:*").load().dropDuplicates(["key"])
     if scheme in FORMATS:
         path = uri.split("://", 1)[1]
         return spark.read.format(scheme).load(f"{path}/{table}" if table else path)
@@ -103,6 +109,10 @@ def keyed(rows: DataFrame, key: str, *patterns: str) -> DataFrame:
     return rows.filter(condition)
 
 
+#: Keys that one request to a key-value store asks for.
+KEYS = 1000
+
+
 class _KeyRange(InputPartition):
     def __init__(self, pattern: str):
         self.pattern = pattern
@@ -136,10 +146,11 @@ class _KeyedReader(DataSourceReader):
         import redis
 
         client = redis.Redis.from_url(self.uri)
-        for key in client.scan_iter(match=partition.pattern, count=1000):
-            value = client.get(key)
-            if value is not None:
-                yield key.decode(), value.decode()
+        found = client.scan_iter(match=partition.pattern, count=KEYS)
+        while keys := list(itertools.islice(found, KEYS)):
+            for key, value in zip(keys, client.mget(keys)):
+                if value is not None:
+                    yield key.decode(), value.decode()
 
 
 def sampled(rows: DataFrame, key: str, size: int | None, seed: int = 42) -> DataFrame:

@@ -123,3 +123,49 @@ def test_other_sources(spark, tmp_path):
     one = readers.sampled(spark.range(100), "id", 10, seed=1).collect()
     assert one == readers.sampled(spark.range(100).repartition(7), "id", 10, seed=1).collect()
     assert readers.sampled(spark.range(5), "id", None).count() == 5
+
+
+def test_rows_of_a_database(spark, tmp_path):
+    """Against Derby, the database that Spark ships: types, nulls, ranges, and a filter that the
+    database itself answers."""
+    url = "jdbc:derby:memory:quillon"
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    rows = [(i, f"n{i}" if i % 7 else None, i / 4) for i in range(100)]
+    spark.createDataFrame(rows, "id long, name string, price double").write.jdbc(f"{url};create=true", "items")
+    whole = readers.read_uri(spark, url, "items")
+    assert sorted(tuple(r) for r in whole.collect()) == rows
+    ranges = readers.read_uri(spark, url, "items", column="id", partitions=4, bounds=(0, 100))
+    assert ranges.rdd.getNumPartitions() == 4 and sorted(tuple(r) for r in ranges.collect()) == rows
+    few = whole.filter("price > 20").select("id")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "price" in plan.split("PushedFilters")[1] and "name" not in plan.split("ReadSchema")[1]
+    assert sorted(r["id"] for r in few.collect()) == [i for i, _, p in rows if p > 20]
+
+
+STORE = """
+import json, fnmatch
+class Redis:
+    def __init__(self, path):
+        self.rows = json.load(open(path))
+    @classmethod
+    def from_url(cls, url):
+        return cls(url.removeprefix("redis://"))
+    def scan_iter(self, match, count):
+        return (k.encode() for k in [*self.rows, *list(self.rows)[:9]] if fnmatch.fnmatch(k, match))
+    def mget(self, keys):
+        assert len(keys) <= 1000
+        return [v and v.encode() for v in (self.rows[k.decode()] for k in keys)]
+"""
+
+
+def test_rows_of_a_key_value_store(spark, tmp_path):
+    """Against a stand-in for the client package: several requests, keys that vanish or come twice, other
+    tables."""
+    import json
+
+    (tmp_path / "redis.py").write_text(STORE)
+    rows = {f"t:m:{i}": json.dumps({"x": i}) for i in range(2500)} | {"t:m:gone": None, "u:m:1": "{}"}
+    (tmp_path / "rows.json").write_text(json.dumps(rows))
+    spark.sparkContext.addPyFile(str(tmp_path / "redis.py"))
+    got = readers.read_uri(spark, f"redis://{tmp_path}/rows.json", "t").collect()
+    assert sorted(tuple(r) for r in got) == sorted((k, v) for k, v in rows.items() if k.startswith("t:") and v)
