@@ -304,17 +304,21 @@ class EmbeddingModel(Model):
         return out
 
 
-def hashed_embedding(dimensions: int) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic stand-in for an embedding service: hashed words, unit length."""
+def hashed_embedding(dimensions: int, words: str = r"\w+") -> Callable[[list[str]], list[list[float]]]:
+    """A deterministic stand-in for an embedding service: hashed words, unit length. Where the signs
+    of all words cancel, the words count without signs: only texts without words get zeros."""
     import zlib
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
             v = [0.0] * dimensions
-            for w in re.findall(r"\w+", (text or "").lower()):
-                h = zlib.crc32(w.encode())
+            hashes = [zlib.crc32(w.lower().encode()) for w in re.findall(words, text or "")]
+            for h in hashes:
                 v[h % dimensions] += 1.0 if h >> 16 & 1 else -1.0
+            if not any(v):
+                for h in hashes:
+                    v[h % dimensions] += 1.0
             size = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / size for x in v])
         return out
